@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text taken at a time; a longer text is taken alone, whole.
-SLICE_BYTES = 48 << 20
+SLICE_BYTES = 8 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

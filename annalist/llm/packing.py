@@ -31,10 +31,10 @@ from .common import table
 
 WINDOW = 4096
 END_ID = 2
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 SENTENCE_PENALTY, SPAN_PENALTY, SPAN_STEP = 16, 48, 64
 #: Entries kept of words met before, in each Python worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#%&$]*)").fullmatch
