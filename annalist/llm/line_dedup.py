@@ -1,21 +1,20 @@
-"""Operator 4, removal of repeated passages by winnowing over line hashes.
-
-A text is a sequence of lines: pieces that end at a line break or after a sentence, compared without the white space around
-them. A gram is the shortest run of lines from a line on that has GRAM_WORDS words. Of the grams that start within
-WINDOW_WORDS words of each gram, the one with the least hash is a fingerprint: two texts that share a run of
-WINDOW_WORDS + GRAM_WORDS words in whole lines, and a line more, share a fingerprint for certain. Each fingerprint is joined
-to its first occurrence in the corpus (by doc_id, text hash, place), and the match is extended line by line both ways.
-Adjoining matches, of one earlier text or several, are one run, and a run of at least MIN_WORDS words is removed from the
-later place. Each line removed stands at an earlier place too, so the first place of any always stays.
-
-An occurrence meets the first one only, so work is in proportion to the occurrences, never to their pairs. Fingerprints that
-hold over a thousandth of all occurrences are joined by broadcast (at most a thousand rows), and the lines of a source that
-so many texts match are spread over salts.
-
-Defined cases: a null text has no line and stays null; an empty one stays empty. Rows with the same doc_id and text are one
-document and are treated alike: they don't count as repeats of each other. Null doc_ids come last, ordered by their text's
-hash. Nothing is removed from a text without a repeated run, to the byte. Other columns are kept, whatever their names. An
-empty table gives no rows.
+"""Operator 4, removal of repeated passages, word by word, by winnowing.
+
+A passage is any MIN_WORDS words in a row, wherever lines and sentences end. What is removed is each passage that stands at
+an earlier place of the corpus (by doc_id, text hash, place), in another text or the same one; passages that overlap or
+adjoin go as one run. So a run of MIN_WORDS words or more is removed from the later place to the word, and the first place
+of any passage always stays.
+
+Of the grams of GRAM_WORDS words in a passage, the one with the least hash is its fingerprint, so equal passages have equal
+fingerprints. Passages whose fingerprint stands once in the corpus stand once and go no further. For all others, the hash
+of the whole passage is compared, over all its occurrences: a place that isn't the least of its hash is a repeat. Both
+steps are minima by hash, summed up before they are exchanged, so neither work nor a task's rows grow with the pairs.
+
+Defined cases: words are as in common.words, and the white space between them doesn't tell passages apart. A null text has no
+word and stays null; an empty one stays empty. Rows with the same doc_id and text are one document and are treated alike:
+they don't count as repeats of each other. Null doc_ids come last, ordered by their text's hash. Nothing is removed from a
+text without a repeated passage, to the byte. n_removed counts the lines (pieces that end at a line break or after a
+sentence) that lose words, of n_lines. Other columns are kept, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,21 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .arrow_words import text_slices
+from .arrow_words import text_slices, word_codes
 from .common import table, written
-from .near_dedup import HOT, hot_join
 
-GRAM_WORDS, WINDOW_WORDS, MIN_WORDS = 8, 20, 25
-SALTS = 32
+GRAM_WORDS, MIN_WORDS = 8, 25
+#: Grams in a passage: with any more, a passage could have no fingerprint of its own.
+WINDOW_WORDS = MIN_WORDS - GRAM_WORDS + 1
 
 _ENDS = re.compile(r"[.!?][ \t\r\f\v]+|[ \t\r\f\v]*\n\s*").finditer
-_R = 0x9E3779B97F4A7C15
-_R_INVERSE = pow(_R, -1, 1 << 64)
+_WORDS = re.compile(r"[^ \t-\r]+").finditer
+_R = np.uint64(0x9E3779B97F4A7C15)
+#: A place is its task's number, shifted so far, and the number of words before it in the task.
+_TASK_BITS = 40
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -59,129 +62,152 @@ def lines(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the offsets of the texts."""
+    codes, at, distinct = word_codes(texts)
+    h = np.fromiter((xxhash.xxh32_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct))
+    return h[codes], at
+
+
 def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the number of words of each line."""
-    pieces = [text[a:b].strip() for a, b in lines(text)]
-    h = np.fromiter((xxhash.xxh64_intdigest(p.encode()) for p in pieces), np.uint64, len(pieces))
-    return h, np.fromiter((len(p.split()) for p in pieces), np.int32, len(pieces))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, r, np.uint64))), dtype=np.uint64) for r in (_R, _R_INVERSE))
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-_POWERS: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-
-
-def winnow(h: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes and places of a text's fingerprints."""
-    before = np.concatenate(([0], np.cumsum(n_words, dtype=np.int64)))
-    end = np.searchsorted(before, before[:-1] + GRAM_WORDS)
-    n = int((end <= len(h)).sum())
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _powers(len(h) + 1)
-    with np.errstate(over="ignore"):
-        x = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up[:-1], dtype=np.uint64)))
-        g = (sums[end[:n]] - sums[:n]) * down[:n] + (end[:n] - np.arange(n)).astype(np.uint64)
-        g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        g = g ^ (g >> np.uint64(29))
-    last = np.searchsorted(before[:n], before[:n] + WINDOW_WORDS)
-    least = np.arange(n)
-    for k in range(1, int((last - np.arange(n)).max())):
-        at = np.nonzero(np.arange(n) + k < last)[0]
-        better = g[at + k] <= g[least[at]]
-        least[at[better]] = at[better] + k
+    """The hash of each word of a text, and its offsets."""
+    return _hashed(pa.array([text], pa.string()))
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each word on."""
+    x = (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(31)
+    g = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        g = g * _R + x[k : k + len(g)]
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return g ^ (g >> np.uint64(29))
+
+
+def _passages(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The start of each passage of the texts, the place of its fingerprint, and the hashes of all grams."""
+    g = _grams(h, GRAM_WORDS)
+    n = max(0, len(h) - MIN_WORDS + 1)
+    least, span = np.arange(len(g)), 1
+    while span < WINDOW_WORDS:
+        step = min(span, WINDOW_WORDS - span)
+        a, b = least[:-step], least[step:]
+        least = np.where(g[b] <= g[a], b, a)
+        span += step
+    starts = np.nonzero(np.arange(n) + MIN_WORDS <= np.repeat(at[1:], np.diff(at))[:n])[0]
+    return starts, least[starts], g
+
+
+def winnow(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and places of the fingerprints of texts."""
+    _, least, g = _passages(h, at)
     places = np.unique(least)
     return g[places].view(np.int64), places
 
 
+def _lists(values: np.ndarray, places: np.ndarray, at: np.ndarray, type_: pa.DataType) -> pa.ListArray:
+    """The values as a list for each text; they stand at ascending places."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(places, at), pa.int32()), pa.array(values, type_))
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row of each; a null is empty."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents come in order; d is the place of the first word of each."""
+    base, last = TaskContext.get().partitionId() << _TASK_BITS, None
     for batch in batches:
         for part in text_slices(batch):
-            hashes, prints, places = [], [], []
-            for text in part.column("text").to_pylist():
-                h, n = coded(text or "")
-                f, p = winnow(h, n)
-                hashes.append(h.tobytes())
-                prints.append(f)
-                places.append(p)
-            at = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in prints]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in (prints, places)]
-            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("t"), pa.array(hashes, pa.binary()), *lists], ["k", "t", "lines", "prints", "places"])
-
-
-def extended(own: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The runs of own lines, from and to, that equal the source's around the anchors."""
-    out: list[tuple[int, int]] = []
-    last: tuple[int, int] = (0, 0)  # end of the last match, and its diagonal
-    for p, q in sorted(anchors, key=lambda a: (a[0] - a[1], a[0])):
-        if out and last[1] == p - q and p < last[0]:
-            continue
-        n = min(len(own) - p, len(source) - q)
-        other = np.nonzero(own[p : p + n] != source[q : q + n])[0]
-        b = p + (int(other[0]) if len(other) else n)
-        n = min(p, q)
-        other = np.nonzero(own[p - n : p] != source[q - n : q])[0]
-        a = p - n + (int(other[-1]) + 1 if len(other) else 0)
-        if a < b:  # else two grams' hashes collide
-            out.append((a, b))
-            last = b, p - q
-    return out
+            k, t = (part.column(c).to_numpy(zero_copy_only=False) for c in "kt")
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+            fresh[0] = last != (k[0], t[0])
+            last = k[-1], t[-1]
+            part = part.filter(pa.array(fresh))
+            h, at = _hashed(part.column("text"))
+            prints, places = winnow(h, at)
+            own = places - np.repeat(at[:-1], np.diff(np.searchsorted(places, at)))
+            binary = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(h)])
+            columns = [part.column("k"), part.column("t"), pa.array(base + at[:-1], pa.int64()), binary, _lists(prints, places, at, pa.int64()), _lists(own, places, at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "t", "d", "words", "prints", "places"])
+            base += len(h)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The starts and hashes of the passages of each document whose fingerprints aren't alone."""
+    for batch in batches:
+        for part in text_slices(batch, "words"):
+            size = pc.binary_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            at = np.concatenate(([0], np.cumsum(size)))
+            h = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
+            starts, least, _ = _passages(h, at)
+            place, row = _flat(part.column("alone"))
+            alone = np.zeros(len(h), bool)
+            alone[place + at[row]] = True
+            starts = starts[~alone[least]]
+            n = np.diff(np.searchsorted(starts, at))
+            columns = [*(part.column(c) for c in "ktd"), _lists(starts - np.repeat(at[:-1], n), starts, at, pa.int32()), _lists(_grams(h, MIN_WORDS)[starts].view(np.int64), starts, at, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "t", "d", "starts", "hashes"]).filter(pa.array(n > 0))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of words that the starts other than the first places of their passages make up."""
     for batch in batches:
-        ks, ts, spans = [], [], []
-        for r in batch.to_pylist():
-            own, source = np.frombuffer(r["lines"], np.uint64), np.frombuffer(r["source"], np.uint64)
-            for a, b in extended(own, source, [(x["place"], x["at"]) for x in r["anchors"]]):
-                ks.append(r["k"])
-                ts.append(r["t"])
-                spans.append({"a": a, "b": b})
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ts, pa.int64()), pa.array(spans, pa.struct([("a", pa.int32()), ("b", pa.int32())]))], ["k", "t", "run"])
+        start, row = _flat(batch.column("starts"))
+        first, of = _flat(batch.column("firsts"))
+        x = start + (row << _TASK_BITS)
+        x = x[~np.isin(x, first + (of << _TASK_BITS))]
+        new = np.ones(len(x) + 1, bool)
+        new[1:-1] = np.diff(x) > MIN_WORDS
+        a, b = x[new[:-1]], x[new[1:]] + MIN_WORDS
+        rows = np.arange(batch.num_rows + 1) << _TASK_BITS
+        spans = pa.StructArray.from_arrays([pa.array(v & ((1 << _TASK_BITS) - 1), pa.int32()) for v in (a, b)], ["a", "b"])
+        runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(a, rows), pa.int32()), spans)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), runs], ["k", "t", "runs"]).filter(pc.greater(pc.list_value_length(runs), 0))
+
+
+def _by_document(rows: DataFrame, name: str) -> DataFrame:
+    """d and the list of its places in rows (d, pos)."""
+    return rows.groupBy("d").agg(F.collect_list((F.col("pos") - F.col("d")).cast("int")).alias(name))
 
 
 def repeated_runs(keyed: DataFrame) -> DataFrame:
-    """k, t and runs, for the documents (k, t, text) that lose lines; a run is from line a up to line b."""
-    every = keyed.select("k", "t", "text").mapInArrow(_coded, "k long, t long, lines binary, prints array<long>, places array<long>")
-    units = written(every.dropDuplicates(["k", "t"]), "lines")
-    seen = units.select("k", "t", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("k", "t", F.col("x.prints").alias("print"), F.col("x.places").alias("place"))
-    first = seen.groupBy("print").agg(F.min(F.struct("k", "t", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = hot_join(seen, written(first, "first"), "print", "n").where("struct(k, t, place) <> first")
-    pairs = met.groupBy("k", "t", F.col("first.k").alias("sk"), F.col("first.t").alias("st")).agg(F.collect_list(F.struct("place", F.col("first.place").alias("at"))).alias("anchors"))
-    pairs = written(pairs, "pairs")
-    often = pairs.groupBy("sk", "st").agg(F.count(F.lit(1)).alias("n"))
-    hot = often.where(F.col("n") * HOT > pairs.count()).select("sk", "st")
-    pairs = pairs.join(F.broadcast(hot.withColumn("hot", F.lit(SALTS))), ["sk", "st"], "left").withColumn("salt", F.pmod(F.xxhash64("k", "t"), F.coalesce("hot", F.lit(1))))
-    source = units.select(F.col("k").alias("sk"), F.col("t").alias("st"), F.col("lines").alias("source")).join(often.select("sk", "st"), ["sk", "st"], "left_semi")
-    source = source.join(F.broadcast(hot.withColumn("hot", F.lit(SALTS))), ["sk", "st"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("hot", F.lit(1)).cast("long") - 1))).drop("hot")
-    whole = pairs.join(source, ["sk", "st", "salt"]).join(units.select("k", "t", "lines"), ["k", "t"])
-    runs = whole.select("k", "t", "anchors", "source", "lines").mapInArrow(_runs, "k long, t long, run struct<a: int, b: int>")
-    return runs.groupBy("k", "t").agg(F.collect_set("run").alias("runs"))
+    """k, t and runs, for the documents (k, t, text) that lose words; a run is from word a up to word b."""
+    ordered = keyed.select("k", "t", "text").repartitionByRange("k", "t").sortWithinPartitions("k", "t")
+    units = written(ordered.mapInArrow(_coded, "k long, t long, d long, words binary, prints array<long>, places array<int>"), "words")
+    seen = units.select("d", F.explode(F.arrays_zip("prints", "places")).alias("x")).select(F.col("x.prints").alias("print"), "d", (F.col("d") + F.col("x.places")).alias("pos"))
+    once = seen.groupBy("print").agg(F.min("d").alias("d"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    asked = units.select("k", "t", "d", "words").join(_by_document(once, "alone"), "d", "left").select("k", "t", "d", "words", "alone")
+    asked = written(asked.mapInArrow(_asked, "k long, t long, d long, starts array<int>, hashes array<long>"), "passages")
+    every = asked.select("d", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select(F.col("x.hashes").alias("hash"), "d", (F.col("d") + F.col("x.starts")).alias("pos"))
+    first = every.groupBy("hash").agg(F.min("d").alias("d"), F.min("pos").alias("pos"))  # the document of the least place is the least
+    found = asked.select("k", "t", "d", "starts").join(_by_document(first, "firsts"), "d", "left").select("k", "t", "starts", "firsts")
+    return found.mapInArrow(_runs, "k long, t long, runs array<struct<a: int, b: int>>")
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the lines of the runs, its number of lines, and of those removed."""
-    spans = lines(text)
-    gone = np.zeros(len(spans), bool)
-    for a, b in runs:
-        gone[a:b] = True
-    edges = np.nonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))[0].tolist()
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        if len(text[spans[a][0] : spans[b - 1][1]].split()) < MIN_WORDS:
-            gone[a:b] = False
-    kept = "".join(text[a:b] for (a, b), g in zip(spans, gone, strict=True) if not g)
-    return (kept.rstrip() if gone.any() and gone[-1] else kept), len(spans), int(gone.sum())
+    """The text without the words of the runs, its number of lines, and of those that lose words."""
+    pieces = lines(text)
+    if not runs:
+        return text, len(pieces), 0
+    spans = [m.span() for m in _WORDS(text)]
+    kept, at, touched = [], 0, set()
+    ends = np.array([b for _, b in pieces])
+    for a, b in sorted(runs):
+        kept.append(text[at : spans[a][0]])
+        at = spans[b][0] if b < len(spans) else len(text)
+        touched.update(range(int(np.searchsorted(ends, spans[a][0], side="right")), int(np.searchsorted(ends, spans[b - 1][0], side="right")) + 1))
+    kept.append(text[at:])
+    out = "".join(kept)
+    return (out.rstrip() if at == len(text) else out), len(pieces), len(touched)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text as it is without repeated runs, and n_lines and n_removed added."""
+    """docs with text as it is without repeated passages, and n_lines and n_removed added."""
     keyed = docs.toDF(*[c if c == "text" else f"_c{n}" for n, c in enumerate(docs.columns)])
     id_ = keyed[f"_c{docs.columns.index('doc_id')}"]
     keyed = keyed.withColumns({"k": F.coalesce(id_, F.lit(2**63 - 1)), "t": F.xxhash64("text")})

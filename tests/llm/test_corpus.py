@@ -326,3 +326,44 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in step.collect()}
     assert len(good - kept) <= 0.02 * len(good) and len(bad & kept) <= 0.2 * len(bad) + 1
     assert c.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def repeated(texts):
+    """Which words of the texts, in order, lie in MIN_WORDS words that stand at an earlier place."""
+    n, first, out = line_dedup.MIN_WORDS, set(), []
+    for w in map(words, texts):
+        gone = [False] * len(w)
+        for a in range(len(w) - n + 1):
+            p = tuple(w[a : a + n])
+            if p in first:
+                gone[a : a + n] = [True] * n
+            first.add(p)
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_brute_force(spark):
+    """Passages in mid-sentence, of one sentence, at the least length, and whose grams all stand earlier elsewhere."""
+    rng = random.Random(11)
+    flat = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    p, least, short = flat(60), flat(25), flat(24)
+    stock = [flat(15) for _ in range(5)]
+    joined = " ".join(stock)
+    texts = [flat(30) + " " + p + " " + flat(30), *(flat(9) + " " + x + " " + flat(9) for x in stock), flat(5) + " " + least, short + " " + flat(9)]
+    texts += [flat(7) + " " + joined + " " + flat(8), flat(3) + " " + joined + ". end", flat(12) + " " + p + " " + flat(12), least + " " + flat(4), flat(4) + " " + short, p + "\n" + p, flat(20) + " " + " ".join(p.split()[20:]) + " " + " ".join(p.split()[:33])]
+    texts += [" ".join(rng.choice([p, joined, least]).split()[rng.randrange(9) :]) + " " + flat(rng.randrange(6)) for _ in range(30)] + [" ".join(rng.choice("ab") for _ in range(300))] * 2
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(make(spark, [(n, t, "s") for n, t in enumerate(texts)]).repartition(5)).collect()}
+    for n, (t, gone) in enumerate(zip(texts, repeated(texts), strict=True)):
+        assert words(got[n].text) == [w for w, g in zip(words(t), gone, strict=True) if not g]
+        assert (got[n].n_removed > 0) == any(gone) and (any(gone) or got[n].text == t)
+    assert len(words(got[9].text)) == 5 and len(words(got[10].text)) == 24
+
+
+def test_line_dedup_leaves_no_passage(spark):
+    """On a whole table, no word of a repeated passage is left and no other word goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted({(r.doc_id, r.text) for r in docs.where("doc_id is not null and text is not null").collect()})
+    assert len({i for i, _ in rows}) == len(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    for (i, t), gone in zip(rows, repeated([t for _, t in rows]), strict=True):
+        assert words(got[i]) == [w for w, g in zip(words(t), gone, strict=True) if not g]
