@@ -367,3 +367,13 @@ def test_line_dedup_leaves_no_passage(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     for (i, t), gone in zip(rows, repeated([t for _, t in rows]), strict=True):
         assert words(got[i]) == [w for w, g in zip(words(t), gone, strict=True) if not g]
+
+
+def test_line_dedup_true_copy_is_a_later_occurrence(spark):
+    """Each sentence of the passage is a text of its own first, so the copy's source has second occurrences only."""
+    stock = ["".join(f"s{n}x{k} " for k in range(11)) + f"e{n}." for n in range(5)]
+    passage = " ".join(stock)
+    texts = [*stock, f"{prose(80, 30)}. {passage} {prose(81, 30)}", f"{prose(82, 30)}. {passage} {prose(83, 30)}"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(spark, [(n, t, "s") for n, t in enumerate(texts)])).collect()}
+    assert [got[n] for n in range(6)] == texts[:6]
+    assert words(got[6]) == words(prose(82, 30) + ". " + prose(83, 30))
