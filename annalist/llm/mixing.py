@@ -4,8 +4,10 @@ Sources, by code point and null last, weigh 1, 2, 3, repeating; a source's targe
 most REPEATS times its own words, and what exceeds that is shared again by weight. The mix has slots of equal numbers of
 words. Slot t is the golden-ratio point frac((t + 1) phi), and the source whose part of the cumulative targets holds the
 point fills it; a source's slots are ranked. Each source's documents, shuffled by a hash, are laid end to end, and again up
-to REPEATS times, and cut into blocks of a slot's length: the slot of rank r takes block r. ``taken`` is what of a document
-lies in the blocks so joined, repeats counted.
+to REPEATS times, and cut into blocks of a slot's length: the slot of rank r takes block r. Where a source's slots come to
+over a NEAR-th more or less than its target, as those of a source of few slots do, its last block is cut or a part of a
+block added, so that it takes its target to the word; each source with a target takes a word at least. ``taken`` is what of
+a document lies in the blocks so joined, repeats counted.
 
 Nothing but a row for each source reaches one task. Ranks and places are prefix sums in two levels (over small parts of a
 source, then within a part), so a hot source is spread over many tasks. Slots meet targets by an equi-join on cells.
@@ -28,6 +30,7 @@ REPEATS = 3
 #: Words in a slot, fewer where the mix would have under MIN_SLOTS; parts in which the documents of a source are ordered.
 SLOT_WORDS, MIN_SLOTS = 256, 65_536
 PARTS = 512
+NEAR = 64
 GOLDEN = 0.6180339887498949
 _CELLS = 4096
 _RUN = 65_536
@@ -92,7 +95,10 @@ def mixed(docs: DataFrame, slot_words: int | None = None) -> DataFrame:
     total = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     slot_words = slot_words or max(1, min(SLOT_WORDS, total // MIN_SLOTS))
     slots = schedule(goal, slot_words).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    plan = goal.alias("g").join(slots.alias("s"), F.expr("g.source <=> s.source"), "left").select("g.*", F.least(F.coalesce("s.slots", F.lit(0)) * slot_words, F.col("g.source_size") * REPEATS).alias("words"))
+    plan = goal.alias("g").join(slots.alias("s"), F.expr("g.source <=> s.source"), "left").select("g.*", (F.coalesce("s.slots", F.lit(0)) * slot_words).alias("whole"))
+    exact = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round("target").cast("long"))).otherwise(0)
+    whole = F.when(F.abs(F.col("whole") - F.col("target")) * NEAR <= F.col("target"), F.col("whole")).otherwise(exact)
+    plan = plan.withColumn("words", F.least(whole, F.col("source_size") * REPEATS)).drop("whole")
     plan = written(plan, "plan")
     d = laid_out(sizes).alias("d").join(F.broadcast(plan).alias("p") if plan.count() <= 100_000 else plan.alias("p"), F.expr("d.source <=> p.source")).select("d.*", "p.source_size", "p.target", "p.words")
     rounds = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("source_size") * e - F.col("at"))) for e in range(REPEATS)]

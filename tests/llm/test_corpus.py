@@ -377,3 +377,18 @@ def test_line_dedup_true_copy_is_a_later_occurrence(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(spark, [(n, t, "s") for n, t in enumerate(texts)])).collect()}
     assert [got[n] for n in range(6)] == texts[:6]
     assert words(got[6]) == words(prose(82, 30) + ". " + prose(83, 30))
+
+
+def test_mixing_serves_small_sources(spark):
+    """Sources whose targets are under a slot, beside a hot one, come to their targets."""
+    rng = random.Random(3)
+    big = [(n, "x " * 4000, "hot") for n in range(60)]
+    small = [(1000 + 10 * n + k, "y " * rng.choice([1, 7, 10]), f"s{n:03}") for n in range(120) for k in range(2)]
+    d = make(spark, big + small)
+    got = mixing.mixed(d, slot_words=256).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(taken[s] > 0 and abs(taken[s] - t) <= max(1, t / 32) for s, t in target.items())
