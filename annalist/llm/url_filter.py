@@ -6,8 +6,9 @@ decision of its component, allow before block where aliases have both; without a
 
 Components are found on the links alone, by distributed contraction; pages without a link never enter it.
 
-Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule, and is no alias. Links that are
-relative or empty are ignored. A link's target need not be a page; its rule counts all the same. Null html has no link.
+Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule, and is no alias. All canonical and
+refresh links of a page count; relative ones, with or without a host, are resolved against the page's url. Links that are
+empty or of a scheme without ``://`` (mailto:) are ignored. A link's target need not be a page; its rule counts all the same. Null html has no link.
 Repeated rows give repeated rows. Fragments don't tell urls apart in links. An empty table gives no rows.
 """
 
@@ -51,11 +52,35 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def resolved(base: Column, ref: Column) -> Column:
+    """The url that a link (ref) of a page (base, with ``://``) leads to; null for a link of a scheme without ``://``."""
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    own, rest = F.regexp_extract(ref, r"(?s)^([^?#]*)", 1), F.regexp_extract(ref, r"(?s)^[^?#]*(.*)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    steps = F.split(F.substring(joined, F.lit(2), F.length(joined)), "/")
+    last = F.element_at(steps, -1)
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    within = F.concat(site, F.lit("/"), F.concat_ws("/", kept), rest)
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), ref)
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+        .when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(own == "", F.concat(site, path, rest))
+        .otherwise(within)
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """src and dst, urls without fragment, of the first canonical link and the first meta refresh of each page."""
-    to = [F.regexp_extract(F.coalesce("html", F.lit("")), x, 1) for x in (_LINK, _REFRESH)]
+    """src and dst, urls without fragment, of all canonical links and meta refreshes of each page."""
+    to = [F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(x), F.lit(1)) for x in (_LINK, _REFRESH)]
     bare = lambda c: F.substring_index(c, "#", 1)
-    e = pages.select(bare(F.col("url")).alias("src"), F.explode(F.array(*to)).alias("d")).select("src", bare(F.regexp_replace("d", "&amp;", "&")).alias("dst"))
+    e = pages.where("url like '%://%'").select(bare(F.col("url")).alias("src"), F.explode(F.concat(*to)).alias("d"))
+    e = e.where("d <> ''").withColumn("ref", bare(F.regexp_replace("d", "&amp;", "&"))).where("ref <> ''")
+    e = e.select("src", bare(resolved(F.col("src"), F.col("ref"))).alias("dst"))
     return e.where("src like '%://%' and dst like '%://%' and src <> dst").distinct()
 
 

@@ -392,3 +392,25 @@ def test_mixing_serves_small_sources(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(taken[s] > 0 and abs(taken[s] - t) <= max(1, t / 32) for s, t in target.items())
+
+
+def test_url_filter_resolves_links(spark):
+    """Relative links in all their forms, against Python's urljoin, and every link of a page."""
+    from urllib.parse import urljoin
+
+    bases = ["http://a.com/en/x.html", "https://a.com", "http://a.com/", "http://a.com/en/7/?q=/z/y", "ftp://h.net/a/b/c", "http://a.com?u=http://b.com/"]
+    refs = ["/en/7", "next.html", "../up", "../../../far", "./here", "sub/./x/../y", "..", ".", "//h.org/es/1", "?page=2", "//h.org", "/a//b/../c", "z?u=http://q.com/", "https://o.io/en/../1", "mailto:x@y.z", "en/7/", "a:b/c"]
+    rows = [(n, b, f"<link rel=canonical href='{r}'>", r) for n, (b, r) in enumerate((b, r) for b in bases for r in refs)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, ref string")
+    got = {r.page_id: r.dst for r in df.select("page_id", url_filter.resolved(F.col("url"), F.col("ref")).alias("dst")).collect()}
+    for n, b, _, r in rows:
+        want = r if "://" in r.split("?")[0] else None if r in ("mailto:x@y.z", "a:b/c") else urljoin(b, r)
+        assert got[n] == want, (b, r)
+    pages = [
+        (1, "http://p.io/a/b", "<link rel=canonical href='c'><link rel='canonical' href='http://a.com/en/1'>"), (2, "http://a.com/q", '<meta http-equiv=refresh content="0; url=en/2">'),
+        (3, "https://w.io/", '<link rel=canonical href="//b.com/en/3?x=1&amp;y=2#f">'), (4, "http://v.io/z", '<link rel=canonical href="#top"><link rel=canonical href="mailto:a@b.c">'), (5, None, "<link rel=canonical href=/x>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    links = url_filter.page_links(df)
+    assert {tuple(r) for r in links.collect()} == {("http://p.io/a/b", "http://p.io/a/c"), ("http://p.io/a/b", "http://a.com/en/1"), ("http://a.com/q", "http://a.com/en/2"), ("https://w.io/", "https://b.com/en/3?x=1&y=2")}
+    assert {r.page_id: r.verdict for r in url_filter.judge(df, links).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
