@@ -67,3 +67,12 @@ def test_barriers_agree_and_hold(spark):
     free = {"acknowledged", "superseded", "ignored_by_policy"}
     want = [n for _, n, r, v, _ in rows if all(s in free for _, _, r2, v2, s in rows if r2 == r and v2 < v)]
     assert a == b == sorted(want)
+
+
+def test_owned_by_source_has_no_last_record(spark, monkeypatch):
+    from annalist.plans import queries as q
+
+    rows = [(2,), (3,), (7,), (7,), (1_000_002,), (5_000_000_001,), (5_000_000_002,)]
+    monkeypatch.setattr(q.X, "observations", lambda s, d: spark.createDataFrame(rows, "record long"))
+    got = sorted(r.record for r in q.QUERIES["owned_by_source"](spark, "").collect())
+    assert got == [2, 7, 1_000_002, 5_000_000_002]
