@@ -32,12 +32,46 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Spark's switch for removing the shuffle files of a query once it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it.
+
+    Shuffle files are kept while the write runs, for lost executors, and go when it has ended, as nothing reads them any more.
+    The table goes when the driver's JVM ends, or at once by ``release``.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/annalist-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read again."""
+    for t in tables:
+        fs, p = _path(t.sparkSession, t._scratch)
+        fs.delete(p, True)
+
+
+def aside(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df with its columns renamed by position, but for those in keep, so that no name clashes with one added later."""
+    return df.toDF(*[c if c in keep else f"_c{n}" for n, c in enumerate(df.columns)])
 
 
 def words(text: Column) -> Column:

@@ -7,14 +7,19 @@ of any passage always stays.
 
 Of the grams of GRAM_WORDS words in a passage, the one with the least hash is its fingerprint, so equal passages have equal
 fingerprints. Passages whose fingerprint stands once in the corpus stand once and go no further. For all others, the hash
-of the whole passage is compared, over all its occurrences: a place that isn't the least of its hash is a repeat. Both
-steps are minima by hash, summed up before they are exchanged, so neither work nor a task's rows grow with the pairs.
+of the whole passage is compared, over all its occurrences: a place that isn't the least of its hash is a repeat. This is
+the extension of a match both ways, word by word and against every occurrence at once: a run goes on as long as the next
+passage is a repeat of any. Both steps are minima by hash, summed up before they are exchanged, so neither work nor a task's
+rows grow with the pairs. Texts aren't exchanged for it, only the hashes of their words.
+
+Whole lines would be the cheaper unit, but a passage of long sentences, or one that starts inside of a line, has no whole
+line in common with its copy; so words are.
 
 Defined cases: words are as in common.words, and the white space between them doesn't tell passages apart. A null text has no
 word and stays null; an empty one stays empty. Rows with the same doc_id and text are one document and are treated alike:
 they don't count as repeats of each other. Null doc_ids come last, ordered by their text's hash. Nothing is removed from a
-text without a repeated passage, to the byte. n_removed counts the lines (pieces that end at a line break or after a
-sentence) that lose words, of n_lines. Other columns are kept, whatever their names. An empty table gives no rows.
+text without a repeated passage, to the byte. n_runs and n_removed count the runs and words that go. Other columns are kept,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,77 +37,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .arrow_words import text_slices, word_codes
-from .common import table, written
+from .common import aside, release, table, written
 
 GRAM_WORDS, MIN_WORDS = 8, 25
 #: Grams in a passage: with any more, a passage could have no fingerprint of its own.
 WINDOW_WORDS = MIN_WORDS - GRAM_WORDS + 1
 
-_ENDS = re.compile(r"[.!?][ \t\r\f\v]+|[ \t\r\f\v]*\n\s*").finditer
 _WORDS = re.compile(r"[^ \t-\r]+").finditer
 _R = np.uint64(0x9E3779B97F4A7C15)
+_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A place is its task's number, shifted so far, and the number of words before it in the task.
 _TASK_BITS = 40
-
-
-def lines(text: str) -> list[tuple[int, int]]:
-    """The spans of a text's lines, which cover it; a blank piece belongs to the line before."""
-    ends = [m.end() for m in _ENDS(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    out, start = [], 0
-    for end in ends:
-        if text[start:end].isspace() or start == end:
-            if out:
-                out[-1] = out[-1][0], end
-                start = end
-        else:
-            out.append((start, end))
-            start = end
-    return out
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and the offsets of the texts."""
     codes, at, distinct = word_codes(texts)
-    h = np.fromiter((xxhash.xxh32_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct))
+    h = np.fromiter(map(xxhash.xxh32_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct))
     return h[codes], at
 
 
-def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of a text, and its offsets."""
-    return _hashed(pa.array([text], pa.string()))
+def _sums(h: np.ndarray) -> np.ndarray:
+    """The sums of the mixed hashes of the words before each word, times powers of _R: those between two places tell their words."""
+    global _powers
+    if len(_powers[0]) < len(h):
+        n = 1 << (len(h) - 1).bit_length()
+        _powers = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, r)))) for r in (_R, _R_INVERSE))
+    x = (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(31)
+    x *= _powers[0][: len(x)]
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
+def _grams(sums: np.ndarray, n: int) -> np.ndarray:
     """The hash of the n words from each word on."""
-    x = (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(31)
-    g = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for k in range(n):
-        g = g * _R + x[k : k + len(g)]
-    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    g = sums[n:] - sums[:-n]
+    g *= _powers[1][: len(g)]
+    g ^= g >> np.uint64(32)
+    g *= np.uint64(0xD6E8FEB86659FD93)
     return g ^ (g >> np.uint64(29))
 
 
-def _passages(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(sums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The start of each passage of the texts, the place of its fingerprint, and the hashes of all grams."""
-    g = _grams(h, GRAM_WORDS)
-    n = max(0, len(h) - MIN_WORDS + 1)
-    least, span = np.arange(len(g)), 1
+    g = _grams(sums, GRAM_WORDS)
+    size = len(sums) - 1
+    n = max(0, size - MIN_WORDS + 1)
+    low = np.uint64((1 << 28) - 1)  # the low bits give way to the place, so the leftmost of equal grams is the least
+    least, span = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
     while span < WINDOW_WORDS:
         step = min(span, WINDOW_WORDS - span)
-        a, b = least[:-step], least[step:]
-        least = np.where(g[b] <= g[a], b, a)
+        least = np.minimum(least[:-step], least[step:])
         span += step
     starts = np.nonzero(np.arange(n) + MIN_WORDS <= np.repeat(at[1:], np.diff(at))[:n])[0]
-    return starts, least[starts], g
+    return starts, (least[starts] & low).astype(np.int64), g
 
 
 def winnow(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes and places of the fingerprints of texts."""
-    _, least, g = _passages(h, at)
-    places = np.unique(least)
+    if len(h) < MIN_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, least, g = _passages(_sums(h), at)
+    chosen = np.zeros(len(g), bool)
+    chosen[least] = True
+    places = np.nonzero(chosen)[0]
     return g[places].view(np.int64), places
 
 
@@ -118,23 +117,33 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents come in order; d is the place of the first word of each."""
-    base, last = TaskContext.get().partitionId() << _TASK_BITS, None
+    """u is a number of the row, n its words."""
+    row = TaskContext.get().partitionId() << _TASK_BITS
     for batch in batches:
         for part in text_slices(batch):
-            k, t = (part.column(c).to_numpy(zero_copy_only=False) for c in "kt")
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-            fresh[0] = last != (k[0], t[0])
-            last = k[-1], t[-1]
-            part = part.filter(pa.array(fresh))
             h, at = _hashed(part.column("text"))
             prints, places = winnow(h, at)
             own = places - np.repeat(at[:-1], np.diff(np.searchsorted(places, at)))
             binary = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(h)])
-            columns = [part.column("k"), part.column("t"), pa.array(base + at[:-1], pa.int64()), binary, _lists(prints, places, at, pa.int64()), _lists(own, places, at, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "t", "d", "words", "prints", "places"])
-            base += len(h)
+            columns = [pa.array(np.arange(row, row + part.num_rows)), part.column("k"), part.column("t"), pa.array(np.diff(at), pa.int64()), binary, _lists(prints, places, at, pa.int64()), _lists(own, places, at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "k", "t", "n", "words", "prints", "places"])
+            row += part.num_rows
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order; d is the place of the first word of each document. Of rows of one document only the first stays."""
+    base, last = TaskContext.get().partitionId() << _TASK_BITS, None
+    for batch in batches:
+        k, t, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in "ktn")
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+        if len(k):
+            fresh[0] = last != (k[0], t[0])
+            last = k[-1], t[-1]
+        n = n[fresh]
+        d = base + np.cumsum(n) - n
+        base += int(n.sum())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(fresh)), pa.array(d, pa.int64())], ["u", "d"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +153,16 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = pc.binary_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
             at = np.concatenate(([0], np.cumsum(size)))
             h = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32)
-            starts, least, _ = _passages(h, at)
+            if len(h) < MIN_WORDS:
+                continue
+            sums = _sums(h)
+            starts, least, _ = _passages(sums, at)
             place, row = _flat(part.column("alone"))
             alone = np.zeros(len(h), bool)
             alone[place + at[row]] = True
             starts = starts[~alone[least]]
             n = np.diff(np.searchsorted(starts, at))
-            columns = [*(part.column(c) for c in "ktd"), _lists(starts - np.repeat(at[:-1], n), starts, at, pa.int32()), _lists(_grams(h, MIN_WORDS)[starts].view(np.int64), starts, at, pa.int64())]
+            columns = [*(part.column(c) for c in "ktd"), _lists(starts - np.repeat(at[:-1], n), starts, at, pa.int32()), _lists(_grams(sums, MIN_WORDS)[starts].view(np.int64), starts, at, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["k", "t", "d", "starts", "hashes"]).filter(pa.array(n > 0))
 
 
@@ -170,62 +182,64 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), runs], ["k", "t", "runs"]).filter(pc.greater(pc.list_value_length(runs), 0))
 
 
-def _by_document(rows: DataFrame, name: str) -> DataFrame:
-    """d and the list of its places in rows (d, pos)."""
-    return rows.groupBy("d").agg(F.collect_list((F.col("pos") - F.col("d")).cast("int")).alias(name))
+def _by_document(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key and the list of its places in rows (key, pos)."""
+    return rows.groupBy(key).agg(F.collect_list("pos").alias(name))
 
 
 def repeated_runs(keyed: DataFrame) -> DataFrame:
     """k, t and runs, for the documents (k, t, text) that lose words; a run is from word a up to word b."""
-    ordered = keyed.select("k", "t", "text").repartitionByRange("k", "t").sortWithinPartitions("k", "t")
-    units = written(ordered.mapInArrow(_coded, "k long, t long, d long, words binary, prints array<long>, places array<int>"), "words")
-    seen = units.select("d", F.explode(F.arrays_zip("prints", "places")).alias("x")).select(F.col("x.prints").alias("print"), "d", (F.col("d") + F.col("x.places")).alias("pos"))
-    once = seen.groupBy("print").agg(F.min("d").alias("d"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    asked = units.select("k", "t", "d", "words").join(_by_document(once, "alone"), "d", "left").select("k", "t", "d", "words", "alone")
+    units = written(keyed.select("k", "t", "text").mapInArrow(_coded, "u long, k long, t long, n long, words binary, prints array<long>, places array<int>"), "words")
+    seen = units.select("u", F.explode(F.arrays_zip("prints", "places")).alias("x")).select(F.col("x.prints").alias("print"), "u", F.col("x.places").alias("pos"))
+    once = seen.groupBy("print").agg(F.min("u").alias("u"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    order = units.select("k", "t", "n", "u").repartitionByRange("k", "t").sortWithinPartitions("k", "t").mapInArrow(_placed, "u long, d long")
+    asked = units.select("u", "k", "t", "words").join(_by_document(once, "u", "alone"), "u", "left").join(order, "u").select("k", "t", "d", "words", "alone")
     asked = written(asked.mapInArrow(_asked, "k long, t long, d long, starts array<int>, hashes array<long>"), "passages")
-    every = asked.select("d", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select(F.col("x.hashes").alias("hash"), "d", (F.col("d") + F.col("x.starts")).alias("pos"))
-    first = every.groupBy("hash").agg(F.min("d").alias("d"), F.min("pos").alias("pos"))  # the document of the least place is the least
-    found = asked.select("k", "t", "d", "starts").join(_by_document(first, "firsts"), "d", "left").select("k", "t", "starts", "firsts")
-    return found.mapInArrow(_runs, "k long, t long, runs array<struct<a: int, b: int>>")
-
-
-def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the words of the runs, its number of lines, and of those that lose words."""
-    pieces = lines(text)
-    if not runs:
-        return text, len(pieces), 0
+    release(units)
+    every = asked.select("d", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select(F.col("x.hashes").alias("hash"), "d", (F.col("d") + F.col("x.starts")).alias("at"))
+    first = every.groupBy("hash").agg(F.min("d").alias("d"), F.min("at").alias("at"))  # the document of the least place is the least
+    first = first.select("d", (F.col("at") - F.col("d")).cast("int").alias("pos"))
+    found = asked.select("k", "t", "d", "starts").join(_by_document(first, "d", "firsts"), "d", "left").select("k", "t", "starts", "firsts")
+    runs = written(found.mapInArrow(_runs, "k long, t long, runs array<struct<a: int, b: int>>"), "runs")
+    release(asked)
+    return runs
+
+
+def without(text: str, runs: list[tuple[int, int]]) -> str:
+    """The text without the words of the runs, which are in order and don't touch."""
     spans = [m.span() for m in _WORDS(text)]
-    kept, at, touched = [], 0, set()
-    ends = np.array([b for _, b in pieces])
-    for a, b in sorted(runs):
+    kept, at = [], 0
+    for a, b in runs:
         kept.append(text[at : spans[a][0]])
         at = spans[b][0] if b < len(spans) else len(text)
-        touched.update(range(int(np.searchsorted(ends, spans[a][0], side="right")), int(np.searchsorted(ends, spans[b - 1][0], side="right")) + 1))
     kept.append(text[at:])
     out = "".join(kept)
-    return (out.rstrip() if at == len(text) else out), len(pieces), len(touched)
+    return out.rstrip() if at == len(text) else out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text as it is without repeated passages, and n_lines and n_removed added."""
-    keyed = docs.toDF(*[c if c == "text" else f"_c{n}" for n, c in enumerate(docs.columns)])
+    """docs with text as it is without repeated passages, and n_runs and n_removed added."""
+    keyed = aside(docs, ("text",))
     id_ = keyed[f"_c{docs.columns.index('doc_id')}"]
     keyed = keyed.withColumns({"k": F.coalesce(id_, F.lit(2**63 - 1)), "t": F.xxhash64("text")})
-    runs = written(repeated_runs(keyed), "runs")
-    joined = keyed.join(runs.hint("shuffle_hash"), ["k", "t"], "left").drop("k", "t")
-    names = [*docs.columns, "n_lines", "n_removed"]
-    schema = StructType([*[StructField(f"_c{n}", f.dataType if f.name != "text" else StringType()) for n, f in enumerate(docs.schema.fields)], StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    joined = keyed.join(repeated_runs(keyed).hint("shuffle_hash"), ["k", "t"], "left").drop("k", "t")
+    schema = StructType([*[StructField(f"_c{n}", f.dataType if f.name != "text" else StringType()) for n, f in enumerate(docs.schema.fields)], StructField("n_runs", LongType()), StructField("n_removed", LongType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                found = [(x, 0, 0) if x is None else without(x, [(r["a"], r["b"]) for r in rs or ()]) for x, rs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True)]
-                columns = part.columns[:-1]
-                columns[at] = pa.array([f[0] for f in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], schema.names)
-
-    return joined.mapInArrow(run, schema).toDF(*names)
+                columns, runs = part.columns[:-1], part.column("runs")
+                n = pc.fill_null(pc.list_value_length(runs), 0)
+                some = pc.greater(n, 0)
+                texts, of = part.column("text").filter(some).to_pylist(), runs.filter(some).to_pylist()
+                cut = pa.array([without(x, [(r["a"], r["b"]) for r in rs]) for x, rs in zip(texts, of, strict=True)], pa.string())
+                columns[at] = pc.replace_with_mask(part.column("text"), some, cut)
+                gone = np.zeros(part.num_rows, np.int64)
+                gone[some.to_numpy(zero_copy_only=False)] = [sum(r["b"] - r["a"] for r in rs) for rs in of]
+                yield pa.RecordBatch.from_arrays([*columns, n.cast(pa.int64()), pa.array(gone)], schema.names)
+
+    return joined.mapInArrow(run, schema).toDF(*docs.columns, "n_runs", "n_removed")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
