@@ -1,17 +1,21 @@
-"""Operator 10, main text of web pages by a maximum-scoring subsequence.
+"""Operator 10, main text of web pages by maximum-scoring subsequences.
 
-A page is a sequence of words and tags. A word scores positive, a tag negative, with the log likelihood ratios of standing
-inside and outside of the article as weights, learned on pages whose article is marked up by exactly one ``article``
-element. One linear scan finds the contiguous region of the greatest sum, the content. Elements that are no main text by
-their name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) score
-like tags, and within the region they are left out.
+A page is a sequence of words and tags. Each has a score, the log likelihood ratio of standing inside and outside of the
+article, learned on pages whose article is marked up by exactly one ``article`` element: words score positive, tags negative.
+One linear scan finds the maximum-scoring subsequences of these scores. On a page that marks its articles, a token's score
+depends on whether a mark is open, too, so every article is a subsequence of its own, and all of them are the content; on a
+page without marks, the best one is.
 
-Text is what the blocks of the region hold: character references decoded, each run of white space one space, blocks joined
-by a blank line. Nothing is capped.
+Elements that are no main text by their meaning (menus, headers, footers, sidebars, adverts, forms, scripts, styles, notices
+of cookies and the like, reader comments) take no part. Their names say so (``nav``, ``aside``), their role, or a class or id
+of which every part does (``ad``, ``cookie-notice``, but not ``related-work``).
 
-Defined cases: null, empty or text-free html gives an empty text. Unclosed tags, comments and elements end with the page.
-Without training pages, fixed weights hold. Repeated rows give repeated rows; other columns are ignored. An empty table
-gives no rows.
+Text is what the blocks of the content hold: character references decoded, each run of white space one space, blocks joined
+by a blank line. Nothing is capped, and a page is scanned once from left to right, whatever is unclosed in it.
+
+Defined cases: null, empty or text-free html gives an empty text. A tag, comment or script that isn't closed ends with the
+page; a quote that isn't closed is no quote. Without training pages, fixed weights hold. Repeated rows give repeated rows;
+other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,64 +36,117 @@ from .common import table
 #: The weights are learned on at most so many pages, those with the least XXH64 of their page_id.
 TRAIN_PAGES = 2000
 #: Tags kept with a weight of their own.
-MAX_TAGS = 200
-WORD, LEAST, UNKNOWN = 1.0, 0.01, 4.0
+MAX_TAGS = 400
+#: Most and least that a word scores where it scores positive; what a tag costs at least, at most, and outside of marks if it is unknown.
+WORD, LEAST_WORD = 1.0, 0.5
+LEAST, STEEPEST, UNKNOWN = 0.01, 6.0, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_NAMES = frozenset("nav footer aside form button select option dialog menu label fieldset legend input".split())
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN_END = re.compile(r"[^<>\"']*>")
+_END = re.compile(r"=\s*([\"'])|>")
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in "script style textarea title iframe noembed noframes xmp".split()}
+_NAMES = frozenset("nav footer aside form button select option dialog menu label fieldset legend input noscript template svg".split())
 _HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription signup paywall"
-    " sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments reply replies respond disqus discussion share sharing social related recommended recommendations widget toolbar login search tags pagination pager skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored sponsoring promo promos promotion banner banners cookie cookies consent gdpr notice notices"
+    " popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer footers comment comments reply replies"
+    " disqus share sharing social widget widgets toolbar login pagination pager".split()
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Parts that say nothing beside a hint, as in ad-box or comment-list.
+_FORMS = frozenset("box block container wrapper wrap inner outer area section list item items bar slot unit body content header main page site global top bottom left right primary secondary the form thread panel zone js no user reader readers related".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr math mi mo mn mrow msup msub mfrac msqrt mtext semantics annotation".split())
 _OPTIONAL = frozenset("p li dt dd tr td th option".split())
-#: Roots that no hint removes.
-_CONTENT = frozenset("article main body html h1".split())
-_NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser".split())
-#: A tag outside of a marked article costs no more than this; the marks of an article cost what they are found to.
-STEEPEST = 6.0
+_CLOSERS = frozenset("ul ol dl table div section article body main".split())
+#: Elements that no class or id removes.
+_CONTENT = frozenset("main body html h1".split())
+_TEASERS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser".split())
 
 
 def _dropped(name: str, attributes: str, inside: int) -> bool:
-    if name in _CONTENT and name != "article":
+    """Whether an element is no main text; inside is the number of open articles."""
+    if name in _CONTENT:
         return False
     if name in _NAMES or name == "header" and not inside:
         return True
     for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" and name != "a" or key == "aria-hidden" and value.lower() == "true":
+        if key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "role" and value.lower() in _ROLES:
             return True
         if key in ("class", "id"):
             for token in value.split():
-                parts = [x.lower() for x in _PARTS.findall(token)]
-                if parts and not {parts[0], parts[-1]}.isdisjoint(_NO_ARTICLE if name == "article" else _HINTS) and not (name == "header" and inside):
+                parts = {x.lower() for x in _PARTS.findall(token)}
+                if name == "article" and not parts.isdisjoint(_TEASERS):
+                    return True
+                if name != "article" and not parts.isdisjoint(_HINTS) and parts <= _HINTS | _FORMS:
                     return True
     return False
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """Each text ("", text, "") and tag (name, attributes, slash) of a page; comments, declarations and raw text are left out."""
+    at = start = 0
+    quotes, last = True, page.rfind(">")
+    while (p := page.find("<", at)) >= 0:
+        at = p + 1
+        if page.startswith("<!--", p):
+            end = page.find("-->", p + 4)
+            end = len(page) if end < 0 else end + 3
+            name = None
+        elif page[at : at + 1] in ("!", "?") and at < len(page):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            name = None
+        elif m := _OPEN.match(page, p):
+            name = m[2].lower()
+            if plain := _PLAIN_END.match(page, m.end()):
+                end = plain.end()
+            elif m.end() > last:
+                end = len(page)
+            else:
+                end, x = -1, m.end()
+                while quotes and (e := _END.search(page, x)):
+                    if not e[1]:
+                        end = e.end()
+                        break
+                    close = page.find(e[1], e.end())
+                    x = e.end() if close < 0 else close + 1
+                if end < 0:  # quotes don't pair from here on, so they mean nothing
+                    quotes = False
+                    end = page.find(">", m.end()) + 1 or len(page)
+            attributes, slash = page[m.end() : end - 1], m[1]
+        else:
+            continue
+        if p > start:
+            yield "", page[start:p], ""
+        if name is not None:
+            yield name, attributes, slash
+            if not slash and (raw := _RAW.get(name)):
+                close = raw.search(page, end)
+                end = close.start() if close else len(page)
+        at = start = end
+    if start < len(page):
+        yield "", page[start:], ""
+
+
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """(tag, "") for each tag, a closing one with a slash before its name, and ("", text) for each text outside dropped elements."""
-    at, skip, depth, inside = 0, "", 0, 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            yield "", page[at : m.start()]
-        at = m.end()
-        name = m[3]
-        if name is None:
+    skip, depth, inside = "", 0, 0
+    for name, value, slash in pieces(page):
+        if not name:
+            if not skip:
+                yield "", value
             continue
-        name, closing = name.lower(), bool(m[2])
         if skip:
             if name == skip:
-                depth += -1 if closing else 0 if m[4].rstrip().endswith("/") or skip in _OPTIONAL else 1
-            elif closing and skip in _OPTIONAL and name in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
+                depth += -1 if slash else 0 if value.rstrip().endswith("/") or skip in _OPTIONAL else 1
+            elif slash and skip in _OPTIONAL and name in _CLOSERS:
                 depth = 0
-            elif name in ("article", "main") and not closing and skip not in ("article", "main") and not _dropped(name, m[4], 0):
+            elif name in ("article", "main") and not slash and skip not in ("article", "main") and not _dropped(name, value, 0):
                 depth = 0  # an article doesn't stand in a menu or an advert: the element before it wasn't closed
             if depth > 0:
                 continue
@@ -98,43 +155,76 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             if ended == name:
                 continue
         if name in ("article", "main"):
-            inside = max(0, inside + (-1 if closing else 1))
-        if not closing and name not in _VOID and _dropped(name, m[4], inside) and not m[4].rstrip().endswith("/"):
+            inside = max(0, inside + (-1 if slash else 1))
+        if not slash and name not in _VOID and not value.rstrip().endswith("/") and _dropped(name, value, inside):
             skip, depth = name, 1
-        yield ("/" if closing else "") + name, ""
-    if at < len(page) and not skip:
-        yield "", page[at:]
+            if name == "article":
+                inside -= 1
+        yield slash + name, ""
+
+
+def maximal(scores: list[float]) -> list[tuple[int, int]]:
+    """The spans of all maximal scoring subsequences, in order: the best one, then so on to its left and right (Ruzzo and Tompa)."""
+    found: list[tuple[int, int, float, float]] = []  # start, end, the sum before the start and at the end
+    links: list[int] = []  # of each, the nearest before it with a smaller sum before its start, -1 if none
+    total = 0.0
+    for n, s in enumerate(scores):
+        total += s
+        if s <= 0:
+            continue
+        start, before = n, total - s
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= before:
+                j = links[j]
+            if j < 0 or found[j][3] >= total:
+                found.append((start, n + 1, before, total))
+                links.append(j)
+                break
+            start, before = found[j][0], found[j][2]
+            del found[j:], links[j:]
+    return [(a, b) for a, b, _, _ in found]
+
+
+def scored(seen: list[tuple[str, str]], weights: dict[str, float]) -> tuple[list[float], bool]:
+    """The score of each token, and whether the page marks its content; ``main`` is a mark where there is no article."""
+    names = {t for t, _ in seen}
+    mark = "article" if "article" in names else "main" if "main" in names else ""
+    out, open_ = [], 0
+    for tag, text in seen:
+        if tag == "/" + mark and mark:
+            open_ = max(0, open_ - 1)
+        key = ("in " if open_ else "out ") + tag if mark else tag
+        if tag:
+            w = weights.get(key)
+            out.append((-LEAST if open_ else -UNKNOWN) if w is None else min(-LEAST, max(-STEEPEST, w)))
+        else:
+            out.append(weights[key] * len(text.split()))
+        if tag == mark and mark:
+            open_ += 1
+    return out, bool(mark)
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     seen = list(tokens(page))
-    best, best_from, best_to, sum_, start = 0.0, 0, 0, 0.0, 0
-    word, unknown = weights.get("", WORD), weights.get("?", -UNKNOWN)
-    inside = 0
-    for n, (tag, text) in enumerate(seen):
-        if tag in ("article", "main", "/article", "/main"):
-            inside = max(0, inside + (-1 if tag[0] == "/" else 1))
-            sum_ += 0.0 if inside > (tag[0] != "/") else min(weights.get(tag, unknown), -STEEPEST)
-        elif tag:
-            sum_ += -LEAST if inside else max(-STEEPEST, weights.get(tag, unknown))
-        else:
-            sum_ += word * len(text.split())
-        if sum_ <= 0:
-            sum_, start = 0.0, n + 1
-        elif sum_ > best:
-            best, best_from, best_to = sum_, start, n + 1
-    blocks, now = [], []
-    for tag, text in seen[best_from:best_to]:
-        if not tag:
-            now.append(text)
-        elif tag.lstrip("/") not in _INLINE:
-            blocks.append("".join(now))
-            now = []
-        elif tag == "br":
-            now.append(" ")
-    blocks.append("".join(now))
+    scores, marked = scored(seen, weights)
+    spans = maximal(scores)
+    if not marked and spans:
+        spans = [max(spans, key=lambda x: (sum(scores[x[0] : x[1]]), -x[0]))]
+    blocks = []
+    for a, b in spans:
+        now: list[str] = []
+        for tag, text in seen[a:b]:
+            if not tag:
+                now.append(text)
+            elif tag.lstrip("/") not in _INLINE:
+                blocks.append("".join(now))
+                now = []
+            elif tag == "br":
+                now.append(" ")
+        blocks.append("".join(now))
     return "\n\n".join(b for b in (" ".join(html.unescape(b).split()) for b in blocks) if b)
 
 
@@ -148,28 +238,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = False
             for tag, text in seen:
                 inside = inside and tag != "/article"
-                found[tag if tag else "", inside] += 1 if tag else len(text.split())
+                found[tag, inside] += 1 if tag else len(text.split())
                 inside = inside or tag == "article"
     keys = list(found)
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())], ["tag", "inside", "n"])
 
 
+#: The weights without a labelled page. A name alone is for pages without marks; "in " and "out " are for those with.
+_FIXED = {"": WORD, "in ": WORD, "out ": -WORD} | {x: -LEAST for t in ("p", "br", "b", "i", "em", "strong", "a", "span", "h1", "h2", "h3", "li", "ul", "div") for x in (t, "/" + t)}
+
+
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, float]:
-    """The weight of a word (under the empty name), of each frequent tag, and of any other tag (under a question mark)."""
+    """The weight of a word (under the empty name) and of each frequent tag, alone and inside and outside of a mark."""
     marked = pages.where("page_id is not null and html rlike '(?i)<article'").select("page_id").distinct()
     some = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
     one = pages.join(F.broadcast(some), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
     counts = one.select("html").mapInArrow(_counts, "tag string, inside boolean, n long").groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
     rows = counts.orderBy((F.col("tag") == "").desc(), (F.col("a") + F.col("b")).desc(), "tag").limit(MAX_TAGS).collect()
-    if not rows:
-        return {"": WORD, "?": -UNKNOWN} | {x: -LEAST for t in ("p", "br", "b", "i", "em", "strong", "a", "span", "h1", "h2", "h3", "li", "ul") for x in (t, "/" + t)}
-    a, b = sum(r.a for r in rows) + len(rows), sum(r.b for r in rows) + len(rows)
-    ratio = {r.tag: math.log((r.a + 1) / a) - math.log((r.b + 1) / b) for r in rows}
-    found = {t: min(-LEAST, x * 2) for t, x in ratio.items()}
-    for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "section", "figure", "figcaption", "table", "tbody", "thead", "tr", "td", "th", "dl", "dt", "dd", "ul", "ol", "li", *_INLINE):
-        for x in (t, "/" + t):
-            found.setdefault(x, -LEAST)
-    return found | {"": max(LEAST, min(WORD, ratio.get("", WORD))), "?": -UNKNOWN}
+    return weights_of({r.tag: (r.a, r.b) for r in rows})
+
+
+def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Weights by each token's number inside and outside of articles; inside of a mark, its outside number is none."""
+    if not counts:
+        return dict(_FIXED)
+    a, b = sum(x for x, _ in counts.values()) + len(counts), sum(y for _, y in counts.values()) + len(counts)
+    ratio = lambda x, y: math.log((x + 1) / a) - math.log((y + 1) / b)
+    found = dict(_FIXED)
+    for tag, (x, y) in counts.items():
+        found |= {tag: ratio(x, y), "in " + tag: ratio(x, 0), "out " + tag: ratio(0, y)}
+    return found | {"": max(LEAST_WORD, min(WORD, found[""])), "in ": max(LEAST_WORD, min(WORD, found["in "])), "out ": -max(LEAST_WORD, min(WORD, -found["out "]))}
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
