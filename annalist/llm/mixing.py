@@ -1,18 +1,21 @@
 """Operator 7, mixing sources to target weights by a low-discrepancy schedule.
 
 Sources, by code point and null last, weigh 1, 2, 3, repeating; a source's target is its share of all words by weight, at
-most REPEATS times its own words, and what exceeds that is shared again by weight. The mix has slots of equal numbers of
-words. Slot t is the golden-ratio point frac((t + 1) phi), and the source whose part of the cumulative targets holds the
-point fills it; a source's slots are ranked. Each source's documents, shuffled by a hash, are laid end to end, and again up
-to REPEATS times, and cut into blocks of a slot's length: the slot of rank r takes block r. Where a source's slots come to
-over a NEAR-th more or less than its target, as those of a source of few slots do, its last block is cut or a part of a
-block added, so that it takes its target to the word; each source with a target takes a word at least. ``taken`` is what of
-a document lies in the blocks so joined, repeats counted.
-
-Nothing but a row for each source reaches one task. Ranks and places are prefix sums in two levels (over small parts of a
-source, then within a part), so a hot source is spread over many tasks. Slots meet targets by an equi-join on cells.
-
-Defined cases: a null, empty or blank text has size 0 and takes 0. Documents of one hash are ordered by doc_id and size;
+most REPEATS times its own words, and what exceeds that is shared again by weight. The mix is a row of slots of SLOT_WORDS
+words. A source gets as many slots as its target needs, the last of them cut to what is left, so it takes its target to the
+word; a source with a target takes a word at least. Slot t is the golden-ratio point frac((t + 1) phi), and the source whose
+part of the cumulative slots holds the point fills it, so every source is spread evenly over the mix. A source's slots are
+ranked; those beyond its number go to the sources that came out short, few each, as the points' discrepancy is small.
+
+Each source's documents, shuffled by a hash, are laid end to end, and again up to REPEATS times, and cut into blocks of a
+slot's length. Blocks are joined to slots by source and rank: that gives the pieces of documents in the mix, each with its
+slot. ``taken`` sums a document's pieces, and ``mix`` returns the documents in the order of their slots.
+
+Nothing but a row for each source, or for each slot that changes hands, reaches one task. Ranks and places are prefix sums in
+two levels (over small parts of a source, then within a part), so a hot source is spread over many tasks; the join's key has
+the rank, so it is, too. Slots meet sources by an equi-join on cells.
+
+Defined cases: a null, empty or blank text has size 0 and takes 0. Documents of one hash are ordered by doc_id, size and row;
 repeated rows are rows of their own, null doc_ids a document each. A table without words has targets 0. Columns that clash
 with those added here don't matter to ``mix``. An empty table gives no rows.
 """
@@ -23,17 +26,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import aside, table, words, written
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-#: Words in a slot, fewer where the mix would have under MIN_SLOTS; parts in which the documents of a source are ordered.
-SLOT_WORDS, MIN_SLOTS = 256, 65_536
+#: Words in a slot; parts in which the documents of a source are ordered.
+SLOT_WORDS = 256
 PARTS = 512
-NEAR = 64
-GOLDEN = 0.6180339887498949
-_CELLS = 4096
+#: frac(phi) and frac(2^20 phi): two steps keep points exact to 1e-10 up to 2^40 slots.
+GOLDEN, GOLDEN_20 = 0.6180339887498949, 0.607787409740351
+#: Sources meet points in at least so many cells.
+CELLS = 4096
 _RUN = 65_536
+#: Bytes of the table of sources up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def size_of(text: Column) -> Column:
@@ -58,74 +64,109 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("l", level).select("source", "source_size", F.when(F.col("l").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("l") * F.col("w"))).alias("target"))
 
 
-def schedule(goal: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
-    """slot, source and rank (from 0 in its source) for each slot of the mix; goal has source and target."""
-    w = W.orderBy(F.col("source").asc_nulls_last())
-    total = F.sum("target").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    part = goal.where("target > 0").select("source", (F.coalesce(F.sum("target").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) / total).alias("lo"), (F.sum("target").over(w) / total).alias("hi"), F.row_number().over(W.orderBy(F.col("source").desc_nulls_first())).alias("back"))
-    part = part.withColumn("hi", F.when(F.col("back") == 1, F.lit(2.0)).otherwise(F.col("hi")))
-    cell = lambda x: F.least(F.floor(x * _CELLS), F.lit(_CELLS - 1))
-    cells = part.select("source", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    spark = goal.sparkSession
-    n = goal.agg(F.coalesce(F.round(F.sum("target") / slot_words), F.lit(0)).cast("long")).first()[0] or 0
-    point = (F.col("slot") + 1) * GOLDEN
-    slots = spark.range(n).select(F.col("id").alias("slot")).withColumn("p", point - F.floor(point)).withColumn("cell", cell(F.col("p")))
-    found = slots.join(F.broadcast(cells) if n < 1 << 40 else cells, "cell").where("p >= lo and p < hi").select("slot", "source")
-    found = found.withColumn("run", F.floor(F.col("slot") / _RUN))
+def plan(sizes: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """source, source_size, target, words (the target in whole words) and slots, a row for each source."""
+    t = targets(sizes)
+    n = F.when(F.col("target") > 0, F.least(F.greatest(F.lit(1), F.round("target").cast("long")), F.col("source_size") * REPEATS)).otherwise(0)
+    return t.withColumn("words", n).withColumn("slots", F.expr(f"(words + {slot_words - 1}) div {slot_words}"))
+
+
+def _few(sources: DataFrame) -> DataFrame:
+    """The table of sources, to be broadcast if its rows and names together are small."""
+    n = sources.agg((F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).alias("n")).first()[0]
+    return F.broadcast(sources) if n <= BROADCAST_BYTES else sources
+
+
+def _numbered(slots: DataFrame) -> DataFrame:
+    """slots (slot, source) with rank, from 0 in each source by slot."""
+    found = slots.withColumn("run", F.expr(f"slot div {_RUN}"))
     counts = found.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = found.withColumn("r", F.row_number().over(W.partitionBy("source", "run").orderBy("slot")) - 1).alias("f")
     return ranked.join(counts.alias("c"), F.expr("f.run = c.run and f.source <=> c.source")).select("f.slot", "f.source", (F.col("f.r") + F.col("c.base")).alias("rank"))
 
 
+def schedule(sources: DataFrame) -> DataFrame:
+    """slot, source and rank for each slot of the mix; sources has source and slots, the number of slots that each fills.
+
+    Every rank from 0 to slots - 1 of a source has one slot, and every slot one source and rank.
+    """
+    w = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    some = written(sources.where("slots > 0").select("source", "slots", F.sum("slots").over(w).alias("upto")), "slots")
+    total = some.agg(F.coalesce(F.max("upto"), F.lit(0)), F.count(F.lit(1))).first()
+    n, cells = total[0], max(CELLS, 1 << (4 * total[1]).bit_length())
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1)).cast("long")
+    part = some.select("source", ((F.col("upto") - F.col("slots")) / n).alias("lo"), (F.col("upto") / n).alias("hi")) if n else some.selectExpr("source", "0d as lo", "0d as hi")
+    part = part.withColumn("hi", F.when(F.col("hi") >= 1, F.lit(2.0)).otherwise(F.col("hi")))
+    part = part.select("source", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    t = F.col("slot") + 1
+    point = F.expr(f"(slot + 1) div {1 << 20}") * GOLDEN_20 + F.pmod(t, F.lit(1 << 20)) * GOLDEN
+    slots = sources.sparkSession.range(n).select(F.col("id").alias("slot")).withColumn("p", point - F.floor(point)).withColumn("cell", cell(F.col("p")))
+    found = written(_numbered(slots.join(_few(part), "cell").where("p >= lo and p < hi").select("slot", "source")), "points")
+    has = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    both = lambda a, b: F.expr(f"{a}.source <=> {b}.source")
+    placed = found.alias("f").join(_few(some).alias("s"), both("f", "s")).select("f.*", "s.slots")
+    free = placed.where("rank >= slots").select("slot").withColumn("nth", F.row_number().over(W.orderBy("slot")))
+    short = some.alias("s").join(has.alias("h"), both("s", "h"), "left").select("s.source", "s.slots", F.coalesce("h.n", F.lit(0)).alias("n")).where("n < slots")
+    short = short.select("source", "slots", F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
+    short = short.withColumn("nth", F.row_number().over(W.orderBy(F.col("rank") / F.col("slots"), F.col("source").asc_nulls_last())))
+    return placed.where("rank < slots").select("slot", "source", "rank").unionByName(short.join(free, "nth").select("slot", "source", "rank"))
+
+
 def laid_out(sizes: DataFrame, parts: int = PARTS) -> DataFrame:
-    """sizes (doc_id, source, size) with at, the words of its source before the document in shuffled order."""
-    h = F.xxhash64("doc_id")
+    """sizes (row, doc_id, source, size) with at, the words of its source before the document in shuffled order."""
+    h = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
     d = sizes.withColumns({"_h": h, "_part": F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 64 - parts.bit_length() + 1)})
     sums = d.groupBy("source", "_part").agg(F.sum("size").alias("s"))
     sums = sums.withColumn("base", F.coalesce(F.sum("s").over(W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "_part").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "_part").orderBy("_h", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return d.withColumn("_in", inside).alias("d").join(sums.alias("s"), F.expr("d._part = s._part and d.source <=> s.source")).select("d.*", (F.col("d._in") + F.col("s.base")).alias("at")).drop("_h", "_part", "_in")
 
 
-def mixed(docs: DataFrame, slot_words: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, at and taken for each row of docs (doc_id, source, text)."""
-    sizes = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    goal = written(targets(sizes), "targets")
-    total = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    slot_words = slot_words or max(1, min(SLOT_WORDS, total // MIN_SLOTS))
-    slots = schedule(goal, slot_words).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    plan = goal.alias("g").join(slots.alias("s"), F.expr("g.source <=> s.source"), "left").select("g.*", (F.coalesce("s.slots", F.lit(0)) * slot_words).alias("whole"))
-    exact = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round("target").cast("long"))).otherwise(0)
-    whole = F.when(F.abs(F.col("whole") - F.col("target")) * NEAR <= F.col("target"), F.col("whole")).otherwise(exact)
-    plan = plan.withColumn("words", F.least(whole, F.col("source_size") * REPEATS)).drop("whole")
-    plan = written(plan, "plan")
-    d = laid_out(sizes).alias("d").join(F.broadcast(plan).alias("p") if plan.count() <= 100_000 else plan.alias("p"), F.expr("d.source <=> p.source")).select("d.*", "p.source_size", "p.target", "p.words")
-    rounds = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("source_size") * e - F.col("at"))) for e in range(REPEATS)]
-    return d.withColumn("taken", sum(rounds[1:], rounds[0]).cast("long"))
+def blocks(sizes: DataFrame, sources: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """row, source, epoch, block, begin and length: what of each document lies in each block of its source, up to its words."""
+    d = laid_out(sizes.where("size > 0")).alias("d").join(_few(sources).alias("s"), F.expr("d.source <=> s.source")).select("d.row", "d.source", "d.size", "d.at", "s.source_size", "s.words")
+    rounds = F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), lambda e: F.struct(e.alias("epoch"), (F.col("at") + e * F.col("source_size")).alias("a")))
+    d = d.select("row", "source", "size", "words", F.explode(F.filter(rounds, lambda x: x["a"] < F.col("words"))).alias("x"))
+    d = d.select("row", "source", "x.epoch", "x.a", F.least(F.col("x.a") + F.col("size"), F.col("words")).alias("b"))
+    d = d.withColumn("block", F.explode(F.expr(f"sequence(a div {slot_words}, (b - 1) div {slot_words})")))
+    lo, hi = F.greatest(F.col("a"), F.col("block") * slot_words), F.least(F.col("b"), (F.col("block") + 1) * slot_words)
+    return d.select("row", "source", "epoch", "block", (lo - F.col("a")).alias("begin"), (hi - lo).alias("length"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents, with the columns of docs: a row for each full take, and one cut after the words of a partial take.
+def pieces(sizes: DataFrame, sources: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """row, slot, epoch, begin and length of each piece of the mix: the slot of rank r takes block r of its source."""
+    b, s = blocks(sizes, sources, slot_words).alias("b"), schedule(sources).alias("s")
+    return b.join(s, F.expr("b.source <=> s.source and b.block = s.rank")).select("b.row", "s.slot", "b.epoch", "b.begin", "b.length")
 
-    A row's takes follow from doc_id, source and size; rows that agree in these are matched by their text's hash.
-    """
-    own = docs.select("doc_id", "source", "text")
-    keyed = docs.withColumns({"_s": size_of(F.col("text")), "_t": F.xxhash64("text")})
-    m = mixed(own).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    k = keyed.alias("k").join(m.where("_sum > 0").alias("m"), F.expr("k.doc_id <=> m.doc_id and k.source <=> m.source and k._s = m.size"))
-    k = k.select(*[F.col(f"k.{c}") for c in docs.columns], F.col("m.size").alias("_size"), (F.col("m._sum") / F.col("m._rows")).cast("long").alias("_take"))
-    size, take = F.col("_size"), F.col("_take")
-    full = F.floor(take / size).cast("int")
-    rest = (take % size).cast("int")
-    takes = F.concat(F.array_repeat(size, full), F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<long>")))
-    cut = F.concat_ws(" ", F.slice(words(F.col("text")), 1, F.col("_n").cast("int")))
-    out = k.withColumn("_n", F.explode(takes))
-    text = F.when(F.col("_n") == size, F.col("text")).otherwise(cut)
-    return out.select(*[text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
+def mixed(docs: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, n_pieces and first_slot for each row of docs (doc_id, source, text)."""
+    sizes = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
+    sources = written(plan(sizes, slot_words), "plan")
+    took = pieces(sizes, sources, slot_words).groupBy("row").agg(F.sum("length").alias("taken"), F.count(F.lit(1)).alias("n_pieces"), F.min("slot").alias("first_slot"))
+    d = sizes.alias("d").join(_few(sources).alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.source_size", "s.target")
+    none = F.lit(0).cast("long")
+    return d.join(took, "row", "left").withColumns({"taken": F.coalesce("taken", none), "n_pieces": F.coalesce("n_pieces", none)}).drop("row")
 
-def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
+def mix(docs: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """The mixed documents, with the columns of docs, in the order of the slots in which they begin.
 
+    A document comes once for each time it is taken; one that is taken in part is cut after so many words, joined by spaces.
+    """
+    names = ("doc_id", "source", "text")
+    rows = written(aside(docs, names).withColumns({"_row": F.monotonically_increasing_id(), "_size": size_of(F.col("text"))}), "docs")
+    sizes = rows.select(F.col("_row").alias("row"), "doc_id", "source", F.col("_size").alias("size"))
+    takes = pieces(sizes, written(plan(sizes, slot_words), "plan"), slot_words).groupBy("row", "epoch").agg(F.min("slot").alias("_slot"), F.sum("length").alias("_take"))
+    out = rows.join(takes, F.col("_row") == F.col("row")).repartitionByRange("_slot", "_row", "epoch").sortWithinPartitions("_slot", "_row", "epoch")
+    cut = F.concat_ws(" ", F.slice(words(F.col("text")), F.lit(1), F.col("_take").cast("int")))
+    text = F.when(F.col("_take") == F.col("_size"), F.col("text")).otherwise(cut)
+    columns = [text.alias("text") if c == "text" else F.col(x) for c, x in zip(docs.columns, aside(docs, names).columns, strict=True)]
+    out = out.select(*columns).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return m.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "first_slot")
