@@ -10,12 +10,13 @@ meets the other after that bit is set (the radius-1 ball of the segment, enumera
 low segment. Every candidate's complete distance is verified. Keys have 42 bits at least, so tables stay sparse.
 
 Fingerprints, not documents, are compared: copies collapse first, and a fingerprint has at most 2080 linked
-fingerprints, so what is emitted is in proportion to the documents whatever the size of a group of copies.
+fingerprints, so what is emitted is in proportion to the documents whatever the size of a group of copies. Where very many
+fingerprints meet under one key, they are keyed more finely, see ``hamming.meet``.
 
 Defined cases: a null, empty or blank text has no shingle and fingerprint 0, linked like any other. A text of one or two
-words has one shingle, all its words. Rows with the same doc_id and the same text are one document. A null doc_id is a
+words has one shingle, all its words. Repeated rows are documents of their own and link to each other. A null doc_id is a
 document; its component_id is null only where no doc_id in its component is known. Columns beside doc_id and text are
-ignored by ``near_groups``, kept by ``deduplicate``. An empty table gives no rows.
+ignored by ``near_groups``, kept by ``deduplicate`` whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table, words, written
+from .common import aside, lower_ascii, release, table, words, written
 from .graph import connected_components
+from .hamming import meet
 from .votes import hex16, vote
 
 #: Fingerprints held by more than one document in HOT get their group's row by broadcast: at most HOT rows.
 HOT = 1000
+#: Of rows that are alike, so many at most are made in a task at a time.
+RUN = 65_536
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -44,7 +48,7 @@ def _hashes(w: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (XXH64 of the text) and fp for each document."""
+    """doc_id, th (XXH64 of the text), fp and m, the number of rows, for each doc_id and text."""
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), shingle_hashes(F.col("text")).alias("h"))
     return vote(d, ["doc_id", "th"], "h")
 
@@ -67,14 +71,14 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
     ball = [f"transform(filter(sequence(0, 31), k -> (shiftrightunsigned(hi, k) & 1) = 0), k -> {key(6 + i, 'hi | shiftleft(1L, k)', p)})" for i, p in enumerate(halves("lo"))]
     index = f.select(F.col("fp").alias("b"), F.explode(F.expr(f"array({', '.join(same + rest)})")).alias("key"))
     probe = f.select(F.col("fp").alias("a"), F.explode(F.expr(f"concat(array({', '.join(same)}), {', '.join(ball)})")).alias("key"))
-    near = probe.join(index, "key").where("a <> b and bit_count(a ^ b) <= 2 and (a < b or key >= (6L << 48))")
+    near = meet(probe, index, 2).where("a < b or key >= (6L << 48)")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, th, fp, n_near and component_id, a row for each document."""
+    """doc_id, th, fp, n_near and component_id, a row for each row of docs."""
     each = written(fingerprints(docs), "fp")
-    fps = written(each.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "fps")
+    fps = written(each.groupBy("fp").agg(F.sum("m").alias("n"), F.min("doc_id").alias("least")), "fps")
     pairs = written(linked_pairs(fps), "pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("fp", "other")
     links = both.join(fps.select(F.col("fp").alias("other"), "n"), "other").groupBy("fp").agg(F.sum("n").alias("others"))
@@ -84,7 +88,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     info = fps.join(links, "fp", "left").join(at, "fp", "left").select(
         "fp", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("of_root", "least").alias("component_id")
     )
-    return hot_join(each, written(info, "groups"), "fp", "n")
+    info = written(info, "groups")
+    release(fps, pairs, roots)
+    return hot_join(_rows(each), info, "fp", "n")
+
+
+def _rows(each: DataFrame) -> DataFrame:
+    """A row for each of the m rows that each row stands for; those of very many are spread over tasks first."""
+    runs = F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {RUN}"))
+    more = each.where("m > 1").withColumn("run", F.explode(runs)).repartition("doc_id", "th", "run")
+    more = more.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN).cast("long"), F.col("m") - F.col("run") * RUN))))
+    return each.where("m = 1").drop("m").unionByName(more.drop("m", "run", "one"))
 
 
 def hot_join(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
@@ -112,9 +126,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     top = known.union(nulls).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f")).agg(F.min("th").alias("_t"))
     unknown = F.lit(2**63 - 1)
     keep = top.select(F.coalesce("component_id", unknown).alias("_k"), "_t")
-    keyed = docs.withColumns({"_k": F.coalesce("doc_id", unknown), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    once = keyed.join(keep, ["_k", "_t"], "left_semi").groupBy("_k", "_t").agg(*[F.first(c).alias(c) for c in docs.columns])
-    return once.select(*docs.columns)
+    own = aside(docs, ("doc_id", "text"))
+    keyed = own.withColumns({"_k": F.coalesce("doc_id", unknown), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    once = keyed.join(keep, ["_k", "_t"], "left_semi").groupBy("_k", "_t").agg(*[F.first(c).alias(c) for c in own.columns])
+    return once.select(*own.columns).toDF(*docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

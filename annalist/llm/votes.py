@@ -11,18 +11,18 @@ _PAIR = 0x0000000100000001
 
 
 def vote(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
-    """Per group of keys, the 64-bit majority fp of all elements of the array column hashes.
+    """Per group of keys, the 64-bit majority fp of all elements of the array column hashes, and m, its number of rows.
 
     A bit is 1 if it is set in over half the elements. Null or empty arrays cast no vote; a group without any gets 0.
     The arrays are exploded and summed before the shuffle, so a group sends one row from each task, however large it is.
     """
-    each = df.select(*keys, F.explode_outer(hashes).alias("h"))
+    each = df.select(*keys, F.posexplode_outer(hashes).alias("p", "h"))
     sums = [F.sum(F.expr(f"shiftrightunsigned(h, {k}) & {_PAIR}L")).alias(f"s{k}") for k in range(32)]
-    total = each.groupBy(*keys).agg(F.count("h").alias("n_votes"), *sums)
+    total = each.groupBy(*keys).agg(F.count("h").alias("n_votes"), F.sum(F.expr("if(p > 0, 0L, 1L)")).alias("m"), *sums)
     low = [F.when(F.expr(f"2 * (s{k} & 4294967295L) > n_votes"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(32)]
     high = [F.when(F.expr(f"2 * shiftrightunsigned(s{k}, 32) > n_votes"), F.lit(_signed(1 << k + 32))).otherwise(F.lit(0)) for k in range(32)]
     bits = reduce(lambda x, y: x.bitwiseOR(y), [c.cast("long") for c in low + high])
-    return total.select(*keys, bits.alias("fp"))
+    return total.select(*keys, bits.alias("fp"), "m")
 
 
 def _signed(x: int) -> int:
