@@ -4,7 +4,8 @@ The documents of a partition, in order, are one token stream, taken in blocks of
 document. Windows of at most 4096 tokens are cut at document ends (free), after sentences (a truncation penalty) or, in
 spans without either, between any tokens at a fixed step (a larger one). Over a block, padding plus penalties is least:
 best[j] = penalty[j] + 4096 - p[j] + min(best[i] + p[i]) over the cuts i within 4096 tokens, a sliding minimum that a
-monotone queue gives in constant time. The last window of a block is cut into powers of two, which need no padding.
+monotone queue gives in constant time. The last window of a block is cut into powers of two, which need no padding, so it
+costs nothing but what is before it.
 
 There is no shuffle: a partition's packing needs its own documents only, and a lost task is redone alike. Memory is a batch
 and a block, not a partition.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -81,8 +83,9 @@ class WordIds:
         return out
 
 
-def cut(ends: np.ndarray, marks: np.ndarray) -> list[int]:
-    """Window ends for a stream: ends are the document ends in tokens, marks the sentence ends. The last end is the stream's."""
+def windows(ends: np.ndarray, marks: np.ndarray) -> list[int]:
+    """The window ends of least cost for a stream: ends are the document ends in tokens, marks the sentence ends. The last end
+    is the stream's. The cost is the padding of all windows but the last, and the penalties of their ends."""
     total = int(ends[-1])
     at = np.union1d(ends, marks)
     gap = np.diff(np.concatenate(([0], at)))
@@ -96,7 +99,7 @@ def cut(ends: np.ndarray, marks: np.ndarray) -> list[int]:
     p = np.nonzero(cost >= 0)[0]
     p = p[p > 0]
     places, pens = [0, *p.tolist()], [0, *cost[p].tolist()]
-    before = [0] * len(places)
+    before, best = [0] * len(places), [0] * len(places)
     queue = deque([(0, 0, 0)])  # best + place, place, index; values ascend
     for j in range(1, len(places)):
         here = places[j]
@@ -105,18 +108,27 @@ def cut(ends: np.ndarray, marks: np.ndarray) -> list[int]:
         least = queue[0]
         before[j] = least[2]
         value = pens[j] + WINDOW + least[0]
+        best[j] = value - here
         while queue and queue[-1][0] >= value:
             queue.pop()
         queue.append((value, here, j))
-    cuts, j = [], len(places) - 1
+    j = len(places) - 1
+    near = bisect_left(places, total - WINDOW)
+    before[j] = min(range(near, j), key=best.__getitem__)
+    cuts = []
     while j:
         cuts.append(places[j])
         j = before[j]
     cuts.reverse()
+    return cuts
+
+
+def cut(ends: np.ndarray, marks: np.ndarray) -> list[int]:
+    """The window ends of least cost, the last window cut into powers of two."""
+    cuts, tail = windows(ends, marks), []
     start = cuts[-2] if len(cuts) > 1 else 0
-    tail = []
-    while total - start > 0:
-        start += 1 << (total - start).bit_length() - 1
+    while cuts[-1] > start:
+        start += 1 << (cuts[-1] - start).bit_length() - 1
         tail.append(start)
     return cuts[:-1] + tail
 
