@@ -28,6 +28,8 @@ from .common import table, written
 
 K = 10
 BLOCK_ROWS, GROUP_ROWS, CHUNK_ROWS = 256, 8192, 512
+#: Groups that one task of a large table makes.
+TASK_GROUPS = 64
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -155,8 +157,9 @@ def _searched(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score; vectors and queries have vec_id and v."""
-    groups = max(1, -(-vectors.count() // GROUP_ROWS))
-    ordered = vectors.repartitionByRange(groups, "vec_id").sortWithinPartitions("vec_id", "v")
+    n = vectors.count()
+    tasks = max(1, -(-n // (TASK_GROUPS * GROUP_ROWS)), min(-(-n // GROUP_ROWS), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = vectors.repartitionByRange(tasks, "vec_id").sortWithinPartitions("vec_id", "v")
     index = written(ordered.mapInPandas(_packed(GROUP_ROWS, "ids"), "ids binary, m binary, dim int").select(F.monotonically_increasing_id().alias("group"), "*"), "index")
     one = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     chunks = one.mapInPandas(_packed(CHUNK_ROWS, "q_ids"), "q_ids binary, m binary, dim int")
@@ -176,9 +179,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+  FROM q JOIN v d ON q.vec_id <> d.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

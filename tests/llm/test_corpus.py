@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from annalist.llm import class_lm, fingerprints, graph, html_text, line_dedup, mixing, near_dedup, packing, quality, topk, url_filter
+from annalist.llm import class_lm, fingerprints, graph, hamming, html_text, line_dedup, mixing, near_dedup, packing, quality, topk, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k long, fp long, score string, row long, taken string"
 
@@ -48,18 +48,27 @@ def words(t):
 
 
 def test_near_dedup(spark, docs, rows, none):
-    got = {(r.doc_id, r.th): r for r in near_dedup.near_groups(docs).collect()}
-    assert len(got) == len(set((i, t or "") for i, t, _ in rows))
+    found = near_dedup.near_groups(docs).collect()
+    got = {(r.doc_id, r.th): r for r in found}
+    assert len(found) == len(rows) and len(got) == len(set((i, t or "") for i, t, _ in rows))
     fp = {}
     for i, t, _ in rows:
         w = words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
         s = [" ".join(w[n : n + 3]) for n in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] * bool(w)
         h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
         fp[i, t or ""] = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    every = Counter((i, t or "") for i, t, _ in rows)
+    linked = lambda f: [j for j, g in fp.items() if bin(f ^ g).count("1") <= 2]
     for (i, t), f in fp.items():
-        near = [j for j, g in fp.items() if bin(f ^ g).count("1") <= 2]
         r = next(r for (d, _), r in got.items() if d == i and r.fp % (1 << 64) == f)
-        assert r.n_near == len(near) - 1
+        assert r.n_near == sum(every[j] for j in linked(f)) - 1
+        seen, todo = set(), [(i, t)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += linked(fp[x])
+        assert r.component_id == min((d for d, _ in seen if d is not None), default=None)
     kept = near_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
@@ -67,7 +76,7 @@ def test_near_dedup(spark, docs, rows, none):
     assert near_dedup.near_groups(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
 
 
-def test_linked_pairs_brute_force(spark):
+def test_linked_pairs_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(60)} | {0, 2**64 - 1, 1, 3}
@@ -77,8 +86,15 @@ def test_linked_pairs_brute_force(spark):
     dist = lambda a, b: bin(a ^ b).count("1")
     assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if a != b and dist(a, b) <= 2}
     assert len(got) == len({frozenset(p) for p in got})
-    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in fingerprints.near_pairs(df, 3).collect()}
-    assert got == {frozenset((a, b)) for a in fps for b in fps if a != b and dist(a, b) <= 3}
+    three = {frozenset((a, b)) for a in fps for b in fps if a != b and dist(a, b) <= 3}
+    found = fingerprints.near_pairs(df, 3).collect()
+    assert {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in found} == three and len(found) == len(three)
+    assert all(r.distance == dist(r.a % (1 << 64), r.b % (1 << 64)) for r in found)
+    monkeypatch.setattr(hamming, "HOT_KEY", 3)  # most keys are hot now
+    for got in (fingerprints.near_pairs(df, 3), fingerprints.near_pairs(df, 3, 5)):
+        assert {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in got.collect()} == three
+    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in near_dedup.linked_pairs(df).collect()}
+    assert got == {frozenset((a, b)) for a in fps for b in fps if a != b and dist(a, b) <= 2}
 
 
 def test_components(spark):
@@ -98,6 +114,19 @@ def test_fingerprints(spark, docs, rows, none):
         k = len(t) // 3
         edits = hashlib.sha256((t[: len(t) - k] + order[(n + 1) % len(order)][1][:k]).encode()).hexdigest()
         assert any(r.doc_id == i and r.edited_sha256 == edits and r.n_chars == len(t) for r in got)
+    def bits(t):
+        w = [x.encode() for x in words(t)]
+        h = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(w, w[1:])] if len(w) > 1 else [xxhash.xxh64_intdigest(x, 42) for x in w]  # noqa: B905
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+    alike = lambda a, b: 1 - bin(a ^ b).count("1") / 64
+    for n, (i, t) in enumerate(order):
+        after, k = order[(n + 1) % len(order)][1], len(t) // 3
+        f, e = bits(t), bits(t[: len(t) - k] + after[:k])
+        assert any(r.doc_id == i and r.fp % (1 << 64) == f and r.edited_fp % (1 << 64) == e and r.near_edited == alike(f, e) and r.near_next == alike(f, bits(after)) for r in got)
+    n_near = {r.fp % (1 << 64): r.n_near for r in fingerprints.near_counts(fingerprints.fingerprint_edits(docs).select("fp")).collect()}
+    fps = [bits(t) for _, t in order]
+    assert n_near == {f: sum(bin(f ^ g).count("1") <= fingerprints.RADIUS for g in fps) - 1 for f in fps}
     same = {r.fp for r in got if r.doc_id in (1, 3)}
     assert len(same) == 1 and {r.fp for r in got if r.doc_id in (4, 5, 9)} == {0}
     assert fingerprints.fingerprint_edits(none).count() == 0
@@ -109,6 +138,19 @@ def test_fingerprints(spark, docs, rows, none):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_fingerprint_order_spreads_ties(spark, monkeypatch):
+    """Rows that share a doc_id, or have none, are cut by text hash, and the order over all ranges is one cycle."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    rng = random.Random(5)
+    rows = [(rng.choice([7, 7, 7, None, n]), f"text {n % 90} " * 3, "s") for n in range(120)]
+    d = fingerprints.in_descending_order(make(spark, rows)).collect()
+    assert len(d) == len(rows) and len({r["_bucket"] for r in d if r.doc_id is None}) > 1 and len({r["_bucket"] for r in d if r.doc_id == 7}) > 1
+    d.sort(key=lambda r: (r["_bucket"], r["_rank"]))
+    assert all(x["_next"] == y.text for x, y in zip(d, d[1:] + d[:1], strict=True))
+    ids = [r.doc_id for r in d]
+    assert ids == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+
+
 def test_class_lm(spark, docs, rows, none):
     got = class_lm.score_texts(docs).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -119,6 +161,60 @@ def test_class_lm(spark, docs, rows, none):
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and r.train_tokens == n for r in got)
     assert class_lm.score_texts(none).count() == 0
+    alone = make(spark, [(n, t, "s") for n, t in enumerate(["a b", None]) if zlib.crc32(str(n).encode()) % 7 == 2] or [(9, "a b", "s")])
+    assert class_lm.score_texts(alone).count() == 1
+
+
+@pytest.mark.parametrize("slice_bytes", [300, 8 << 20])
+def test_class_lm_is_the_sequential_model(spark, monkeypatch, slice_bytes):
+    """Every training word has a class, scores are those of a plain model with these classes, and it sums to one."""
+    rng = random.Random(3)
+    kinds = [[f"{k}{n}" for n in range(30)] for k in "xyz"]
+    texts = [" ".join(rng.choice(kinds[p % 3]) for p in range(rng.randrange(3, 40))) for _ in range(120)] + ["new words x1 y2", "", "x1 X1 x1"]
+    docs = make(spark, [(n, t, "s") for n, t in enumerate(texts)]).repartition(3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    monkeypatch.setattr(class_lm, "text_slices", lambda b, c="text": (b.slice(k, 9) for k in range(0, b.num_rows, 9)) if slice_bytes < 1000 else iter([b]))
+    m = class_lm.fit(docs.select("doc_id", "text", class_lm.held_out(F.col("doc_id"), 7, 2).alias("held_out")), most=12)
+    by = {r.h % (1 << 64): (r["class"], r.c) for r in class_lm.word_classes(m).collect()}
+    train = [t.lower().split() for n, t in enumerate(texts) if not held(n)]
+    c = Counter(w for t in train for w in t)
+    group = {w: by[class_lm.word_hash(w.encode())][0] for w in c}
+    assert len(by) == len(c) and all(by[class_lm.word_hash(w.encode())][1] == n for w, n in c.items())
+    assert all(0 <= g < class_lm.CLASSES for g in group.values())
+    assert m.steps == sorted(m.steps)
+    k, u, end = class_lm.K, class_lm.UNKNOWN, class_lm.END
+    pairs, after, follow = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in train:
+        seq = [(None, end), *((w, group[w]) for w in t), (None, end)]
+        for (v, a), (w, b) in zip(seq, seq[1:]):  # noqa: B905
+            pairs[a, b] += 1
+            after[a] += c[w] == 1
+            follow[b] += c[v] == 1
+    trans = pairs + class_lm.ADD
+    trans[:, u], trans[u] = after + class_lm.ADD, follow + class_lm.ADD
+    trans[u, u] = follow.sum() * after.sum() / pairs.sum() + class_lm.ADD
+    trans /= trans.sum(1, keepdims=True)
+    size = Counter()
+    for w, n in c.items():
+        size[group[w]] += n + 1
+    for before in range(k):
+        total = trans[before, u] + trans[before, end] + sum(trans[before, group[w]] * (n + 1) / size[group[w]] for w, n in c.items())
+        empty = sum(trans[before, g] for g in range(class_lm.CLASSES) if not size[g])
+        assert total + empty == pytest.approx(1)
+    got = {r.doc_id: r.score for r in class_lm.score_texts(docs).collect()} if slice_bytes > 1000 else None
+    if got:
+        m2 = class_lm.fit(docs.select("doc_id", "text", class_lm.held_out(F.col("doc_id"), 7, 2).alias("held_out")))
+        by = {r.h % (1 << 64): r["class"] for r in class_lm.word_classes(m2).collect()}
+        group = {w: by[class_lm.word_hash(w.encode())] for w in c}
+        assert len({tuple(sorted({group[w] for w in ws if w in group})) for ws in kinds}) == 3
+    each = class_lm._met(m.blocks.drop("hashes"), m.chunks).mapInArrow(class_lm._scorer(m.transition, m.within, 1.0, m.docs), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").collect()
+    group = {w: class_lm.word_hash(w.encode()) for w in c}
+    cls = {r.h % (1 << 64): r["class"] for r in class_lm.word_classes(m).collect()}
+    for r in each:
+        seq = [end, *(cls[group[w]] if w in c else u for w in texts[r.doc_id].lower().split()), end]
+        want = sum(math.log10(trans[a, b]) for a, b in zip(seq, seq[1:]))  # noqa: B905
+        want += sum(math.log10((c[w] + 1) / size[cls[group[w]]]) for w in texts[r.doc_id].lower().split() if w in c)
+        assert r.score == pytest.approx(want)
 
 
 def test_exchange_raises_likelihood():
@@ -146,14 +242,24 @@ def test_line_dedup(spark, none):
 
 def test_winnowing_guarantee():
     rng = random.Random(2)
+    coded = lambda t: line_dedup._hashed(line_dedup.pa.array([t], line_dedup.pa.string()))
     for _ in range(200):
         shared = [prose(rng.random(), rng.randrange(3, 12)) for _ in range(6)]
         texts = ["\n".join([*(prose(rng.random(), 9) for _ in range(rng.randrange(4))), *shared, *(prose(rng.random(), 9) for _ in range(rng.randrange(4)))]) for _ in range(2)]
-        (f, _), (g, _) = (line_dedup.winnow(*line_dedup.coded(t)) for t in texts)
-        if sum(len(s.split()) for s in shared) >= line_dedup.WINDOW_WORDS + line_dedup.GRAM_WORDS + 24:
+        (f, _), (g, _) = (line_dedup.winnow(*coded(t)) for t in texts)
+        if sum(len(s.split()) for s in shared) >= line_dedup.MIN_WORDS:
             assert set(f.tolist()) & set(g.tolist())
-    t = prose(5, 400) + "\n\n  x. y\n"
-    assert "".join(t[a:b] for a, b in line_dedup.lines(t)) == t
+
+
+def test_line_dedup_every_earlier_text_counts(spark):
+    """Six lines in one text, the same and one to three more in two others: of the last, nothing that stands before is left."""
+    rng = random.Random(9)
+    for _ in range(3):
+        base = [prose(rng.random(), 9) + "." for _ in range(6)]
+        more = [prose(rng.random(), 6) + "." for _ in range(rng.randrange(1, 4))]
+        rows = [(1, "\n".join(base), "s"), (2, "\n".join(base + more), "s"), (3, "\n".join(base + more), "s")]
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(spark, rows)).collect()}
+        assert got[1] == rows[0][1] and got[2] == "\n".join(more) and got[3] == ""
 
 
 def test_packing(spark, docs, rows, none):
@@ -185,17 +291,25 @@ def test_packing(spark, docs, rows, none):
     assert packing.pack(none, path).count() == 0
 
 
-def test_cut_is_least():
+def test_cut_is_least(monkeypatch):
+    """Against the plain recurrence on short streams: padding of all windows but the last, and the penalties of their ends."""
+    monkeypatch.setattr(packing, "WINDOW", 12)
     rng = random.Random(4)
-    packing.WINDOW, old = 64, packing.WINDOW
-    try:
-        for _ in range(30):
-            ends = np.cumsum([rng.randrange(1, 90) for _ in range(6)])
-            marks = np.array(sorted({rng.randrange(1, int(ends[-1])) for _ in range(30)}))
-            cuts = packing.cut(ends, marks)
-            assert cuts[-1] == ends[-1] and all(0 < b - a <= 64 for a, b in zip([0, *cuts], cuts, strict=False))
-    finally:
-        packing.WINDOW = old
+    for _ in range(60):
+        ends = np.cumsum([rng.randrange(1, 16) for _ in range(rng.randrange(1, 5))])
+        total = int(ends[-1])
+        marks = np.array(sorted({rng.randrange(1, total + 1) for _ in range(9)} | set(range(6, total, 6))), np.int64)
+        price = {int(m): packing.SENTENCE_PENALTY for m in marks} | {int(e): 0 for e in ends} | {0: 0}
+        best = {0: 0}
+        for p in sorted(price):
+            if p:
+                best[p] = price[p] + min(best[q] + 12 - (p - q) for q in best if p - q <= 12)
+        least = min(best[q] for q in best if q < total and total - q <= 12)
+        w = packing.windows(ends, marks)
+        assert w[-1] == total and all(0 < b - a <= 12 for a, b in zip([0, *w], w))  # noqa: B905
+        assert sum(price[b] + 12 - (b - a) for a, b in zip([0, *w], w[:-1])) == least  # noqa: B905
+        cuts = packing.cut(ends, marks)
+        assert cuts[: len(w) - 1] == w[:-1] and all((b - a).bit_count() == 1 for a, b in zip([0, *cuts], cuts) if a >= ([0, *w])[-2])  # noqa: B905
 
 
 def test_quality(spark, none):
@@ -243,15 +357,63 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mixed(none).count() == 0 and mixing.mix(none).count() == 0
 
 
-def test_schedule_is_low_discrepancy(spark):
-    goal = spark.createDataFrame([("a", 1000.0), ("b", 2000.0), (None, 3000.0)], "source string, target double")
-    s = sorted(mixing.schedule(goal, 10).collect())
-    assert len(s) == 600
-    for n in (60, 300, 600):
-        c = Counter(r.source for r in s[:n])
-        assert all(abs(c[k] - n * f) <= 3 for k, f in (("a", 1 / 6), ("b", 1 / 3), (None, 1 / 2)))
-    for k in ("a", "b", None):
-        assert [r["rank"] for r in s if r.source == k] == list(range(sum(r.source == k for r in s)))
+def test_schedule_is_low_discrepancy(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_RUN", 64)
+    for slots in ({"a": 100, "b": 200, None: 300}, {"a": 1, "b": 997, "c": 2, "d": 40}, {"a": 0, "b": 5}, {"a": 0}):
+        s = sorted(mixing.schedule(spark.createDataFrame(list(slots.items()), "source string, slots long")).collect())
+        n = sum(slots.values())
+        assert [r.slot for r in s] == list(range(n))
+        for k, m in slots.items():
+            assert sorted(r["rank"] for r in s if r.source == k) == list(range(m))
+        for upto in range(0, n + 1, 50):
+            c = Counter(r.source for r in s[:upto])
+            assert all(abs(c[k] - upto * m / max(1, n)) <= 4 for k, m in slots.items())
+
+
+def test_mixing_joins_blocks_to_slots(spark):
+    """Slot by slot against a plain model: the slot of rank r has words r * slot to (r + 1) * slot of its source's stream."""
+    rng = random.Random(6)
+    rows = [(n, " ".join(f"{n}w{k}" for k in range(rng.randrange(0, 60))), rng.choice(["a", "b", "b", "b", None])) for n in range(80)] + [(3, "again w", "a"), (3, "again w", "a"), (None, "nobody knows", "b")]
+    docs = make(spark, rows)
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    d = spark.createDataFrame(d.collect(), d.schema)
+    sources = mixing.plan(d, 16)
+    rank = {r.slot: (r.source, r["rank"]) for r in mixing.schedule(sources).collect()}
+    found = {}
+    for p in mixing.pieces(d, sources, 16).collect():
+        found.setdefault(p.slot, []).append(p)
+    at = {r.row: (r.source, r["at"], r["size"]) for r in mixing.laid_out(d).collect()}
+    for r in sources.collect():
+        stream = [x for row, (s, a, n) in sorted(at.items(), key=lambda x: x[1][1]) if s == r.source for x in ((row, k) for k in range(n))]
+        stream = (stream * 3)[: r.words]
+        assert len(stream) == r.words and r.slots == -(-r.words // 16)
+        for slot, (s, k) in rank.items():
+            if s == r.source:
+                have = sorted((p.epoch, at[p.row][1], p.begin, p.row, p.length) for p in found.pop(slot))
+                assert [(row, b + i) for _, _, b, row, n in have for i in range(n)] == stream[16 * k : 16 * k + 16]
+    assert not found
+
+
+def test_mix_is_in_slot_order(spark):
+    rows = [(n, " ".join(f"{s}{n}w{k}" for k in range(20)), s) for s in "ab" for n in range(50)]
+    m = mixing.mix(make(spark, rows), 8).collect()
+    first = Counter(r.source for r in m[: len(m) // 2])
+    assert min(first.values()) > len(m) // 8
+    assert all(r.text == rows[r.doc_id + 50 * (r.source == "b")][1][: len(r.text)] for r in m)
+
+
+def test_names_that_clash(spark):
+    """User columns named like those added on the way come out as they went in."""
+    import corpus_pipeline as c
+
+    extra = "_s _t _n _k _size _take _hot _chars n_removed n_runs runs k t d u row _row slot _slot fp m key _c0 _c1 hash pos epoch".split()
+    rows = [(n, prose(n % 9, 40), "ab"[n % 2], 7, *[f"{x}{n}" for x in extra]) for n in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{x} string" for x in extra))
+    for f in (mixing.mix, near_dedup.deduplicate, lambda x: c.line_dedup(spark, x, ""), lambda x: line_dedup.dedup_lines(x).toDF(*x.columns, "r1", "r2").drop("r1", "r2")):
+        out = f(d)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(tuple(r)[4:] == tuple(f"{x}{r.doc_id}" for x in extra) for r in got)
 
 
 def test_topk(spark):
@@ -311,6 +473,36 @@ def test_html(spark):
     assert got[33].text == ("word " * 60).strip() + "\n\nlast one here"
     assert got[None].text == "just text" and got[34].text == "a < b & c"
     assert html_text.extract(df.where("false"), html_text.train(df.where("false"))).count() == 0
+    for weights in (w, html_text._FIXED):
+        text = lambda page, weights=weights: html_text.main_text(page, weights)
+        two = "<nav>m</nav><article><p>The first has some words.</p></article><div class=ad>no</div><p>between</p><article><p>Short.</p></article>"
+        assert text(two) == "The first has some words.\n\nShort."
+        assert text("<article><p>Some words here.</p><div class='warning'>Mind the gap.</div><p class='related-work'>As others did.</p><p>By <math><mi>x</mi><mo>=</mo><mi>y</mi></math> it holds.</p></article>") == "Some words here.\n\nMind the gap.\n\nAs others did.\n\nBy x=y it holds."
+        assert text("<body><div><h1>A short title</h1><p>A first paragraph.</p></div><div><p>" + "word " * 80 + "</p></div></body>").startswith("A short title\n\nA first paragraph.\n\nword word")
+        assert text("<article><p>in</p><div class='cookie-notice'>c</div><ul id=comment-list><li>r</li></ul></article>") == "in"
+
+
+def test_maximal_brute_force():
+    def best(s, lo, hi):
+        found = max(((sum(s[a:b]), -a, -b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+        if found[0] <= 1e-12:
+            return []
+        return best(s, lo, -found[1]) + [(-found[1], -found[2])] + best(s, -found[2], hi)
+
+    rng = random.Random(1)
+    for _ in range(300):
+        s = [rng.uniform(-1, 1) for _ in range(rng.randrange(20))]
+        assert html_text.maximal(s) == best(s, 0, len(s))
+
+
+@pytest.mark.parametrize("x", ["<a b ", "<a '", "<a b='", "<a b=\"x' ", "<!-- ", "<!", "<script>", "<p class=ad>x", "<a b='>", "</", "<p>word "])
+def test_html_takes_linear_time(x):
+    import time
+
+    page = x * (1_000_000 // len(x))
+    t = time.process_time()
+    html_text.main_text(page, html_text._FIXED)
+    assert time.process_time() - t < 5
 
 
 def test_pipeline_stages(spark):
@@ -414,3 +606,72 @@ def test_url_filter_resolves_links(spark):
     links = url_filter.page_links(df)
     assert {tuple(r) for r in links.collect()} == {("http://p.io/a/b", "http://p.io/a/c"), ("http://p.io/a/b", "http://a.com/en/1"), ("http://a.com/q", "http://a.com/en/2"), ("https://w.io/", "https://b.com/en/3?x=1&y=2")}
     assert {r.page_id: r.verdict for r in url_filter.judge(df, links).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_url_filter_brute_force(spark, monkeypatch):
+    """Random links and rules, against plain components and rule matching; rules compiled and joined give the same."""
+    rng = random.Random(12)
+    hosts = ["a.com", "x.a.com", "b.net", "c.b.net", "com", "d.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', ''])}{rng.choice(['', '/'])}{n}" for n in range(60)]
+    links = [(rng.choice(urls), rng.choice(urls)) for _ in range(35)]
+    rules = sorted({(f"{rng.choice(hosts)}/{rng.choice(['', 'en', 'en/', 'de/', 'de/1'])}", rng.choice(["allow", "block"])) for _ in range(8)})
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fit = [r for r in sorted(rules, key=lambda r: (-len(r[0]), r)) if (host == (h := r[0].split("/", 1))[0] or host.endswith("." + h[0])) and path.startswith(h[1])]
+        return fit[0] if fit else (None, None)
+
+    group = {u: {u} for u in urls}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    pages = spark.createDataFrame([(n, u, "") for n, u in enumerate(urls * 2 + urls[:1] * 50)], "page_id long, url string, html string")
+    edges = spark.createDataFrame(links, "src string, dst string").where("src <> dst").distinct()
+    for most in (500, 0):
+        monkeypatch.setattr(url_filter, "COMPILED", most)
+        got = url_filter.judge(pages, edges, rules).collect()
+        assert len(got) == pages.count()
+        for r in got:
+            u = (urls * 2 + urls[:1] * 50)[r.page_id]
+            of_group = sorted(v for x in group[u] if (v := own(x)[1]))
+            assert (r.rule, r.verdict) == (own(u)[0], own(u)[1] or (of_group or ["allow"])[0])
+
+
+def test_quality_is_sequential_ftrl(spark):
+    """The weights are those of a plain loop over dictionaries."""
+    rows = [(n, prose(n, 30) if n % 2 else prose(n, 30).upper() + " !!", "s") for n in range(24)]
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(24)], "doc_id long, quality int, toxic int")
+    d = make(spark, rows).select("doc_id", "text")
+    got = quality.train(d, labels)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    rank = lambda i: sign(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42))
+    train = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2), key=lambda r: rank(r[0]))
+    z, n = Counter(), Counter()
+    w = lambda i: 0.0 if abs(z[i]) <= quality.L1 else (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    for _ in range(quality.EPOCHS):
+        for i, t, _ in train:
+            kinds, offsets = quality.features(quality.pa.array([t], quality.pa.string()))
+            c = Counter(int(f) for k in kinds for f in k)
+            x = {f: float(np.float32(m * quality.SCALE / max(1, offsets[1]))) for f, m in c.items()} | {1 << quality.BITS: 1.0}
+            p = 1 / (1 + math.exp(-sum(w(f) * v for f, v in x.items())))
+            step = {f: ((p - i % 2) * v, w(f)) for f, v in x.items()}
+            for f, (g, old) in step.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / quality.ALPHA * old
+                n[f] += g * g
+    assert {int(f) for f in np.nonzero(got)[0]} == {f for f in z if w(f)}
+    assert all(got[f] == pytest.approx(w(f), rel=1e-4, abs=1e-6) for f in z)
+
+
+def test_topk_agrees_with_its_sql(spark, tmp_path):
+    """On repeated rows, null ids and bad vectors, too."""
+    import duckdb
+
+    rng = random.Random(2)
+    vs = [(n, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]) for n in range(0, 300, 10)] + [(100, [0.5] * 4), (100, [0.5] * 4), (7, [1.0] * 4), (7, [1.0] * 4), (200, None), (300, [float("nan")] * 4), (None, [1.0] * 4), (400, [1.0, None, 1.0, 1.0])]
+    spark.createDataFrame(vs, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, topk.op1_topk(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(topk.SQL).fetchall())
