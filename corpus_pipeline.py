@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import table, written
+from annalist.llm.common import aside, table, written
 from annalist.llm.line_dedup import dedup_lines
 from annalist.llm.mixing import mix
 from annalist.llm.near_dedup import deduplicate
@@ -20,9 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without passages that stand in an earlier one; those of which nothing is left go. n_chars follows."""
-    d = dedup_lines(docs.withColumnRenamed("n_chars", "_chars")).where("n_removed = 0 or text <> ''")
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("_chars"))
-    return d.withColumn("n_chars", n_chars).select(*docs.columns)
+    own = aside(docs, ("doc_id", "text"))
+    d = dedup_lines(own).where("n_removed = 0 or text <> ''")
+    n_chars = F.char_length("text").cast("long")
+    columns = [F.when(F.col("n_removed") > 0, n_chars).otherwise(F.col(x)).alias(x) if c == "n_chars" else F.col(x) for c, x in zip(docs.columns, own.columns, strict=True)]
+    return d.select(*columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of scarce sources come up to three times, those of plentiful ones in part."""
+    """The mix, in slot order: documents of scarce sources come up to three times, those of plentiful ones in part."""
     return mix(docs)
 
 
@@ -42,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: No stage but the last can be told from its input by SQL (hash features, SimHash, a tokenizer), so tests hold run() against brute force.
+#: No stage but the last can be told from its input by SQL (hash features, SimHash, a tokenizer), so tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
