@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     fs, p = _path(spark, path)

@@ -162,14 +162,38 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone[place + at[row]] = True
             starts = starts[~alone[least]]
             n = np.diff(np.searchsorted(starts, at))
-            columns = [*(part.column(c) for c in "ktd"), _lists(starts - np.repeat(at[:-1], n), starts, at, pa.int32()), _lists(_grams(sums, MIN_WORDS)[starts].view(np.int64), starts, at, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "t", "d", "starts", "hashes"]).filter(pa.array(n > 0))
+            own = starts - np.repeat(at[:-1], n)
+            new = np.ones(len(starts), bool)
+            new[1:] = (np.diff(starts) > 1) | (own[1:] == 0)
+            first = np.flatnonzero(new)
+            spans = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (own[first], np.diff([*first, len(starts)]))], ["a", "n"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(starts[first], at), pa.int32()), spans)
+            columns = [*(part.column(c) for c in "ktd"), spans, _lists(_grams(sums, MIN_WORDS)[starts].view(np.int64), starts, at, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "t", "d", "spans", "hashes"]).filter(pa.array(n > 0))
+
+
+def _starts(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts that each row's spans (a, and n from there on) stand for, and the row of each."""
+    n = pc.list_value_length(spans).to_numpy(zero_copy_only=False)
+    a, m = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.flatten().flatten())
+    before = np.cumsum(m) - m
+    return np.repeat(a - before, m) + np.arange(int(m.sum())), np.repeat(np.repeat(np.arange(len(n)), n), m)
+
+
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each passage that is asked for: its hash, its document's place and its own."""
+    for batch in batches:
+        for n in range(0, batch.num_rows, 512):
+            part = batch.slice(n, 512)
+            start, row = _starts(part.column("spans"))
+            d = part.column("d").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([part.column("hashes").flatten(), pa.array(d), pa.array(d + start)], ["hash", "d", "at"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of words that the starts other than the first places of their passages make up."""
     for batch in batches:
-        start, row = _flat(batch.column("starts"))
+        start, row = _starts(batch.column("spans"))
         first, of = _flat(batch.column("firsts"))
         x = start + (row << _TASK_BITS)
         x = x[~np.isin(x, first + (of << _TASK_BITS))]
@@ -192,14 +216,15 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
     units = written(keyed.select("k", "t", "text").mapInArrow(_coded, "u long, k long, t long, n long, words binary, prints array<long>, places array<int>"), "words")
     seen = units.select("u", F.explode(F.arrays_zip("prints", "places")).alias("x")).select(F.col("x.prints").alias("print"), "u", F.col("x.places").alias("pos"))
     once = seen.groupBy("print").agg(F.min("u").alias("u"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    alone = written(_by_document(once, "u", "alone"), "alone")
     order = units.select("k", "t", "n", "u").repartitionByRange("k", "t").sortWithinPartitions("k", "t").mapInArrow(_placed, "u long, d long")
-    asked = units.select("u", "k", "t", "words").join(_by_document(once, "u", "alone"), "u", "left").join(order, "u").select("k", "t", "d", "words", "alone")
-    asked = written(asked.mapInArrow(_asked, "k long, t long, d long, starts array<int>, hashes array<long>"), "passages")
-    release(units)
-    every = asked.select("d", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select(F.col("x.hashes").alias("hash"), "d", (F.col("d") + F.col("x.starts")).alias("at"))
+    asked = units.select("u", "k", "t", "words").join(alone, "u", "left").join(order, "u").select("k", "t", "d", "words", "alone")
+    asked = written(asked.mapInArrow(_asked, "k long, t long, d long, spans array<struct<a: int, n: int>>, hashes array<long>"), "passages")
+    release(units, alone)
+    every = asked.select("d", "spans", "hashes").mapInArrow(_every, "hash long, d long, at long")
     first = every.groupBy("hash").agg(F.min("d").alias("d"), F.min("at").alias("at"))  # the document of the least place is the least
     first = first.select("d", (F.col("at") - F.col("d")).cast("int").alias("pos"))
-    found = asked.select("k", "t", "d", "starts").join(_by_document(first, "d", "firsts"), "d", "left").select("k", "t", "starts", "firsts")
+    found = asked.select("k", "t", "d", "spans").join(_by_document(first, "d", "firsts"), "d", "left").select("k", "t", "spans", "firsts")
     runs = written(found.mapInArrow(_runs, "k long, t long, runs array<struct<a: int, b: int>>"), "runs")
     release(asked)
     return runs
