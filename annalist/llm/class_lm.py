@@ -251,6 +251,17 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return group
 
 
+def _tallied(keys: np.ndarray, size: int, bins: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below size, in order, and how often each comes; so many counters at a time."""
+    out = []
+    for a in range(0, size, bins):
+        some = keys if size <= bins else keys[(keys >= a) & (keys < a + bins)]
+        n = np.bincount(some - a)
+        k = np.flatnonzero(n)
+        out.append((k + a, n[k]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (keys, keys)
+
+
 def _contexts(top: np.ndarray | None, top_group: np.ndarray | None, share: int, shares: int):
     """A row for each word of the share in each block: its class, training occurrences, and neighbours by class."""
 
@@ -266,21 +277,17 @@ def _contexts(top: np.ndarray | None, top_group: np.ndarray | None, share: int,
             left, right = mine[w] & (gv != _NONE), mine[v] & (gw != _NONE)
             if top is not None:
                 left, right = left & (gv != END), right & (gw != END)
+            count = np.bincount(w, minlength=b.size + 1)
             keys = np.concatenate((w[left] * _WIDE + gv[left], v[right] * _WIDE + K + gw[right], v[mine[v] & (v == w)] * _WIDE + 2 * K))
-            if (b.size + 1) * _WIDE <= 1 << 24:
-                n = np.bincount(keys, minlength=b.size * _WIDE)
-                keys = np.flatnonzero(n)
-                n = n[keys]
-            else:
-                keys, n = np.unique(keys, return_counts=True)
+            del v, w, gv, gw, left, right
+            keys, n = _tallied(keys, b.size * _WIDE)
             word = keys // _WIDE
             entries = np.empty(len(keys), _ENTRY)
             entries["k"], entries["n"] = keys - word * _WIDE, n
             some = np.flatnonzero(mine[:-1])
             ends = np.searchsorted(word, some, side="right")
             binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.concatenate(([0], ends * _ENTRY.itemsize)).astype(np.int32)), pa.py_buffer(entries.tobytes())])
-            count = np.bincount(w, minlength=b.size + 1)[some]
-            yield pa.RecordBatch.from_arrays([pa.array(b.hashes[some]), pa.array(np.full(len(some), b.number)), pa.array(some.astype(np.int32)), pa.array(group[some].astype(np.int16)), pa.array(count, pa.int64()), binary], ["h", "block", "idx", "own", "n", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(b.hashes[some]), pa.array(np.full(len(some), b.number)), pa.array(some.astype(np.int32)), pa.array(group[some].astype(np.int16)), pa.array(count[some], pa.int64()), binary], ["h", "block", "idx", "own", "n", "near"])
 
     return run
 
