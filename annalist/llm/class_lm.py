@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_words import segment_sums, text_slices, word_codes
-from .common import release, table, written
+from .common import release, table, tidy, written
 from .quality import held_out
 
 MOST, CLASSES = 1024, 24
@@ -71,7 +71,8 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = words.filter(pa.array(seen)).cast(pa.binary()).to_pylist()
             hashes = np.fromiter(map(word_hash, kept), np.uint64, len(kept))
             held = part.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
-            raw = [held, offsets.astype("<i8"), to[codes].astype("<i4"), hashes.view("<i8")]
+            planes = 4 if len(kept) >> 24 else 3  # the bytes of codes, lowest first: they pack better so
+            raw = [held, offsets.astype("<i8"), to[codes].astype("<i4").view("u1").reshape(-1, 4)[:, :planes].T, hashes.view("<i8")]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["block", "doc_ids", "held", "offsets", "codes", "hashes"])
             block += 1
 
@@ -81,7 +82,10 @@ class Block:
 
     def __init__(self, row: dict):
         get = lambda c, t: np.frombuffer(row[c], t)
-        self.number, codes, at = row["block"], get("codes", "<i4"), get("offsets", "<i8")
+        self.number, at = row["block"], get("offsets", "<i8")
+        codes = np.zeros((int(at[-1]), 4), "u1")
+        codes[:, : len(row["codes"]) // max(1, int(at[-1]))] = get("codes", "u1").reshape(-1, int(at[-1])).T if at[-1] else 0
+        codes = codes.view("<i4").reshape(-1)
         self.hashes = get("hashes", "<i8") if "hashes" in row else None
         self.held = get("held", "u1").astype(bool)
         chunks = sorted(row.get("chunks") or [], key=lambda c: c["kind"])
@@ -416,7 +420,8 @@ def _by_word(rows: DataFrame) -> DataFrame:
 
 
 def _total(rows: DataFrame, size: int) -> np.ndarray:
-    found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    with tidy(rows.sparkSession):
+        found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[found["key"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -445,7 +450,7 @@ def fit(docs: DataFrame, most: int = MOST, shares: int = SHARES) -> Model:
     c, steps = counts(), []
     steps.append(likelihood(c[: K * K].reshape(K, K)))
     for share in range(shares):
-        near = _met(plain, chunks).mapInArrow(_contexts(None, None, share, shares), _NEAR)
+        near = _met(plain, chunks[1:]).mapInArrow(_contexts(None, None, share, shares), _NEAR)
         moved = written(_by_word(near).mapInArrow(_moved(c[: K * K].reshape(K, K), False), CHUNK), "moved")
         chunks.append((len(chunks), moved))
         now = counts()

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,20 +43,26 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """In it, a query that has ended leaves no shuffle files. While it runs they are kept, for lost executors."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it.
 
-    Shuffle files are kept while the write runs, for lost executors, and go when it has ended, as nothing reads them any more.
     The table goes when the driver's JVM ends, or at once by ``release``.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/annalist-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     fs, p = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
