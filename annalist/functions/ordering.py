@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 RUN = 65_536
 
@@ -21,22 +25,32 @@ def global_number(df: DataFrame, key: str, order: list[str], name: str) -> DataF
     return d.join(n, "_run").withColumn(name, (F.col("_in") + F.col("_base")).cast("long")).drop("_run", "_in", "_base")
 
 
-def greedy_budget(df: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """df with admitted: in order, a row is admitted unless something is already and its size would overflow the budget.
+def folded(df: DataFrame, group: str, order: list[str], size: str, budget: int, most: int | None = None, first_always: bool = False) -> DataFrame:
+    """df with admitted: in order, a row is admitted if its size and number still fit with those admitted before in its group.
 
-    A group's state is one number, so its sorted sizes are folded where the group is; groups are what bounds a task.
+    first_always admits a row while nothing is. A group's rows are sorted and stream by, and only two numbers are kept.
     """
-    row = F.struct(*order, F.col(size).cast("long").alias("_size"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("took"))
+    schema = StructType([*df.schema.fields, StructField("admitted", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, n = (), 0, 0
+        for batch in batches:
+            out = []
+            for g, x in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist(), strict=True):
+                if (g,) != now:
+                    now, used, n = (g,), 0, 0
+                ok = x is not None and (first_always and not used or used + x <= budget) and (most is None or n < most)
+                if ok:
+                    used, n = used + x, n + 1
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], schema.names)
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = (acc["used"] == 0) | (acc["used"] + x["_size"] <= budget)
-        return F.struct((acc["used"] + F.when(ok, x["_size"]).otherwise(0)).alias("used"), F.concat(acc["took"], F.array(ok)).alias("took"))
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
-    g = df.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    g = g.withColumn("_took", F.aggregate("_rows", zero, step, lambda a: a["took"]))
-    flat = g.select(group, F.explode(F.arrays_zip("_rows", "_took")).alias("x"))
-    return flat.select(group, *[F.col(f"x._rows.{o}").alias(o) for o in order], F.col("x._rows._size").alias(size), F.col("x._took").alias("admitted"))
+
+def greedy_budget(df: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """df with admitted: in order, a row is admitted unless something is already and its size would overflow the budget."""
+    return folded(df, group, order, size, budget, first_always=True)
 
 
 def prefix_budget(df: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:

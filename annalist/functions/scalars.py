@@ -30,10 +30,11 @@ def valid_path(c: Column) -> Column:
 
 
 def normalized_path(c: Column) -> Column:
-    """Components joined by a slash; empty ones and single dots vanish; null for an absolute path or one with two dots."""
+    """Components joined by a slash; empty ones and inner single dots vanish; null for an absolute path, or one that begins
+    with a dot as a component, or has two dots."""
     parts = F.split(c, "/")
     kept = F.filter(parts, lambda x: ~x.isin("", "."))
-    return F.when(~c.startswith("/") & ~F.array_contains(parts, "..") & (F.size(kept) > 0), F.array_join(kept, "/"))
+    return F.when(~c.startswith("/") & (parts[0] != ".") & ~F.array_contains(parts, "..") & (F.size(kept) > 0), F.array_join(kept, "/"))
 
 
 def file_name(path: Column) -> Column:
@@ -63,7 +64,7 @@ def header_session(text: Column, limit: int = 65_536) -> Column:
 
 
 def revision_key(text: Column) -> Column:
-    """byte_length and digest of a whole record; sha2 here, see ``functions.blake3`` for the tree hash."""
+    """byte_length and digest of a whole record; the digest is SHA-256."""
     return F.struct(F.octet_length(text).cast("long").alias("byte_length"), F.sha2(text.cast("binary"), 256).alias("digest"))
 
 

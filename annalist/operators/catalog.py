@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annalist.functions.ordering import folded
 from annalist.functions.scalars import RELEASING
 
 MANIFEST = "format_version int, created_at_ms long, schema_version int, latest_event_sequence long, configuration_digest string"
@@ -81,9 +81,9 @@ def subscription_status(deliveries: DataFrame, now: int) -> DataFrame:
 
 
 def scan_report(scans: DataFrame) -> DataFrame:
-    """Counters of each generation; the fixture's fingerprint says whether a candidate was unchanged, hashed or deferred."""
+    """Counters of each generation (scans have bytes); the fixture's fingerprint says whether a candidate was unchanged, hashed or deferred."""
     is_ = lambda v: F.col("fp") == v
-    return scans.groupBy("gen").agg(F.count(F.lit(1)).alias("considered"), F.count_if(is_(0)).alias("unchanged"), F.count_if(is_(1)).alias("hashed"), F.coalesce(F.sum(F.when(is_(1), F.col("record"))), F.lit(0)).alias("bytes_hashed"), F.count_if(is_(2)).alias("deferred"))
+    return scans.groupBy("gen").agg(F.count(F.lit(1)).alias("considered"), F.count_if(is_(0)).alias("unchanged"), F.count_if(is_(1)).alias("hashed"), F.coalesce(F.sum(F.when(is_(1), F.col("bytes"))), F.lit(0)).alias("bytes_hashed"), F.count_if(is_(2)).alias("deferred"))
 
 
 def manifests(deliveries: DataFrame) -> DataFrame:
@@ -113,10 +113,9 @@ def after_cursor(candidates: DataFrame, root: str, path: str) -> DataFrame:
 
 
 def cache_admission(entries: DataFrame, most_each: int, most: int, most_bytes: int) -> DataFrame:
-    """In order of path, the entries of each root that fit: each alone, by number and by total."""
-    w = W.partitionBy("root").orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-    d = entries.where(F.col("bytes") <= most_each).withColumns({"_n": F.count(F.lit(1)).over(w), "_t": F.sum("bytes").over(w)})
-    return d.where((F.col("_n") <= most) & (F.col("_t") <= most_bytes)).drop("_n", "_t")
+    """In order of path, the entries of each root that fit: each alone, and by number and total with those admitted before.
+    An entry that is refused takes nothing, so later ones may still fit."""
+    return folded(entries.where(F.col("bytes") <= most_each), "root", ["path"], "bytes", most_bytes, most).where("admitted").drop("admitted")
 
 
 def upsert_observations(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -67,6 +67,23 @@ def stability(scans: DataFrame, completed: DataFrame) -> DataFrame:
     return d.select("record", "gen", "fp", F.row_number().over(W.partitionBy("record", "island").orderBy("gen")).alias("unchanged"))
 
 
+def reconcile(scans: DataFrame, completed: DataFrame, min_unchanged: int, max_bytes: int) -> DataFrame:
+    """record, gen, fp and outcome of each candidate (scans: record, gen, fp, bytes), in the order in which a scan tests it.
+
+    A candidate waits until its fingerprint was seen min_unchanged times in a row; one that is too large is deferred each
+    time; of the others the first that is stable is hashed, and the run's later ones are stable already.
+    """
+    d = stability(scans.select("record", "gen", "fp"), completed).join(scans.select("record", "gen", "bytes"), ["record", "gen"])
+    outcome = F.when(F.col("unchanged") < min_unchanged, "awaiting_stability").when(F.coalesce("bytes", F.lit(0)) > max_bytes, "deferred_by_size_limit").when(F.col("unchanged") > min_unchanged, "already_stable").otherwise("hashed")
+    return d.select("record", "gen", "fp", outcome.alias("outcome"))
+
+
+def committed(outcomes: DataFrame) -> DataFrame:
+    """record, gen and fp of what was hashed and isn't what the record's last hash was."""
+    last = F.lag("fp").over(W.partitionBy("record").orderBy("gen"))
+    return outcomes.where("outcome = 'hashed'").withColumn("_last", last).where("_last is null or _last <> fp").select("record", "gen", "fp")
+
+
 def tombstones(seen: DataFrame, generations: DataFrame, scans: int, grace_ms: int) -> DataFrame:
     """record, gen and ms where a record that is missing becomes a tombstone.
 

@@ -123,7 +123,7 @@ def valid_path(s, d):
     return _paths(s, d).select("path", S.valid_path(F.col("path")).alias("valid"))
 
 
-@query("SELECT path, CASE WHEN NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AND len(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.'))) > 0 THEN array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') END AS normal FROM pth")
+@query("SELECT path, CASE WHEN NOT starts_with(path, '/') AND string_split(path, '/')[1] <> '.' AND NOT list_contains(string_split(path, '/'), '..') AND len(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.'))) > 0 THEN array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') END AS normal FROM pth")
 def normalize_path(s, d):
     return _paths(s, d).select("path", S.normalized_path(F.col("path")).alias("normal"))
 
@@ -157,11 +157,11 @@ def filename_session(s, d):
     return n.select("doc_id", f["status"].alias("status"), f["session"].alias("session"))
 
 
-_HEAD_SQL = _NAMES_SQL + """, hd AS (SELECT doc_id, u, CASE doc_id % 3 WHEN 0 THEN u WHEN 1 THEN reverse(u) END AS id FROM nn)"""
+_HEAD_SQL = _NAMES_SQL + """, hd AS (SELECT doc_id, u, CASE WHEN doc_id % 30 = 0 THEN reverse(substr(u, 1, 8)) || substr(u, 9) WHEN doc_id % 3 = 0 THEN u WHEN doc_id % 3 = 1 THEN reverse(u) END AS id FROM nn)"""
 
 
 def _headers(s, d):
-    id_ = F.when(F.expr("doc_id % 3 = 0"), F.col("u")).when(F.expr("doc_id % 3 = 1"), F.reverse("u"))
+    id_ = F.when(F.expr("doc_id % 30 = 0"), F.concat(F.reverse(F.substring("u", 1, 8)), F.expr("substring(u, 9)"))).when(F.expr("doc_id % 3 = 0"), F.col("u")).when(F.expr("doc_id % 3 = 1"), F.reverse("u"))
     n = _names(s, d).withColumn("id", id_)
     head = F.when(F.col("id").isNotNull(), F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("id")).alias("payload")))).otherwise(F.lit("{bad"))
     return n.withColumn("text", F.concat(head, F.lit("\nfirst\n")))
@@ -257,9 +257,7 @@ def parse_manifest(s, d):
 def scan_allowlist(s, d):
     c = X.candidates(s, d)
     allowed = c.where("doc_id % 10 = 3").select("root", "path")
-    parts = [c.where(F.col("root") == r).select("root", "path") for r in ("en", "de", "fr", "es")]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return C.allowed(every, allowed)
+    return C.allowed(c.select("root", "path"), allowed)
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS intact FROM cand")
@@ -355,17 +353,22 @@ def catalog_status(s, d):
     return e.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("latest_sequence")).join(c).join(L.revisions(X.observations(s, d)).agg(F.count(F.lit(1)).alias("revisions"))).join(X.deliveries(s, d).agg(F.count_if(F.col("state") == "dead_lettered").alias("dead_letters"))).withColumn("schema_version", F.lit(9))
 
 
-_REP = "SELECT gen, count(*) AS considered, count(*) FILTER (fp = 0) AS unchanged, count(*) FILTER (fp = 1) AS hashed, coalesce(sum(record) FILTER (fp = 1), 0)::BIGINT AS bytes_hashed, count(*) FILTER (fp = 2) AS deferred FROM scn GROUP BY gen"
+_REP = "SELECT gen, count(*) AS considered, count(*) FILTER (fp = 0) AS unchanged, count(*) FILTER (fp = 1) AS hashed, coalesce(sum(bytes) FILTER (fp = 1), 0)::BIGINT AS bytes_hashed, count(*) FILTER (fp = 2) AS deferred FROM scn LEFT JOIN cand ON cand.doc_id = scn.record GROUP BY gen"
 
 
 @query(_REP)
 def scan_report(s, d):
-    return C.scan_report(X.scans(s, d))
+    return C.scan_report(_sized(s, d))
+
+
+def _sized(s, d):
+    """Scans with the bytes of a candidate for each record."""
+    return X.scans(s, d).join(X.candidates(s, d).select(F.col("doc_id").alias("record"), "bytes"), "record", "left")
 
 
 @query(f", rep AS ({_REP}) SELECT sum(considered)::BIGINT AS considered, sum(unchanged)::BIGINT AS unchanged, sum(hashed)::BIGINT AS hashed, sum(bytes_hashed)::BIGINT AS bytes_hashed, sum(deferred)::BIGINT AS deferred, count(*) AS passes FROM rep")
 def reconcile_totals(s, d):
-    r = C.scan_report(X.scans(s, d))
+    r = C.scan_report(_sized(s, d))
     return r.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in r.columns if c != "gen"], F.count(F.lit(1)).alias("passes"))
 
 
@@ -417,30 +420,31 @@ def lease_topk(s, d):
 
 def _requests(s, d):
     x = X.deliveries(s, d).where("state = 'leased'")
-    return x.select("sub", "sequence", F.when(F.expr("sequence % 2 = 0"), F.col("token")).otherwise("stale").alias("token"), F.expr(_OUT).alias("outcome"))
+    return x.select("sub", "sequence", F.when(F.expr("sequence % 2 = 0"), F.col("token")).otherwise("stale").alias("token"), F.expr(_OUT).alias("outcome"), F.concat(F.lit("because "), F.col("sequence").cast("string")).alias("reason"))
 
 
 _OK = f"state = 'leased' AND sequence % 2 = 0 AND expires_ms > {NOW}"
-_DCOLS = "sequence, record, record_version, kind, rev, root, sub, attempts, created_ms, settled_ms"
+_DCOLS = "sequence, record, record_version, kind, rev, root, sub, attempts, created_ms"
+_WHY = "'because ' || sequence"
 _GONE = f"CASE WHEN {_OK} THEN NULL ELSE token END AS token, CASE WHEN {_OK} THEN NULL ELSE expires_ms END AS expires_ms"
 
 
-@query(f"SELECT sub, sequence, CASE WHEN sequence % 2 = 0 THEN token ELSE 'stale' END AS token, {_OUT} AS outcome, {_OK} AS valid FROM del WHERE state = 'leased'")
+@query(f"SELECT sub, sequence, CASE WHEN sequence % 2 = 0 THEN token ELSE 'stale' END AS token, {_OUT} AS outcome, {_WHY} AS reason, {_OK} AS valid FROM del WHERE state = 'leased'")
 def compare_and_set(s, d):
     return D.compare_and_set(X.deliveries(s, d), _requests(s, d), NOW)
 
 
-@query(f"SELECT {_DCOLS}, not_before_ms, {_GONE}, CASE WHEN {_OK} THEN CASE WHEN sequence % 4 = 3 THEN 'dead_lettered' ELSE {_OUT} END ELSE state END AS state FROM del")
+@query(f"SELECT {_DCOLS}, not_before_ms, {_GONE}, CASE WHEN {_OK} THEN CASE WHEN sequence % 4 = 3 THEN 'dead_lettered' ELSE {_OUT} END ELSE state END AS state, CASE WHEN {_OK} THEN {NOW} ELSE settled_ms END AS settled_ms, CASE WHEN {_OK} THEN {_WHY} ELSE reason END AS reason FROM del")
 def settle(s, d):
     return D.settle(X.deliveries(s, d), _requests(s, d), NOW)
 
 
-@query(f"SELECT {_DCOLS}, {_GONE}, CASE WHEN {_OK} AND attempts < max_attempts THEN CAST({NOW} + least(most_ms, first_ms * pow(2, least(attempts - 1, 63))) AS BIGINT) ELSE not_before_ms END AS not_before_ms, CASE WHEN NOT ({_OK}) OR expires_ms IS NULL THEN state WHEN attempts >= max_attempts THEN 'dead_lettered' ELSE 'queued' END AS state FROM del JOIN subs USING (sub)")
+@query(f"SELECT {_DCOLS}, {_GONE}, CASE WHEN {_OK} AND attempts < max_attempts THEN CAST({NOW} + least(most_ms, first_ms * pow(2, least(attempts - 1, 63))) AS BIGINT) ELSE not_before_ms END AS not_before_ms, CASE WHEN NOT ({_OK}) OR expires_ms IS NULL THEN state WHEN attempts >= max_attempts THEN 'dead_lettered' ELSE 'queued' END AS state, CASE WHEN NOT ({_OK}) OR expires_ms IS NULL THEN settled_ms WHEN attempts >= max_attempts THEN {NOW} END AS settled_ms, CASE WHEN NOT ({_OK}) OR expires_ms IS NULL THEN reason WHEN attempts >= max_attempts THEN 'retry policy exhausted' END AS reason FROM del JOIN subs USING (sub)")
 def retry(s, d):
     return D.retry(X.deliveries(s, d), _requests(s, d), X.subscriptions(s), NOW)
 
 
-@query(f"SELECT {_DCOLS}, not_before_ms, {_GONE}, CASE WHEN {_OK} THEN 'blocked' ELSE state END AS state FROM del")
+@query(f"SELECT {_DCOLS}, not_before_ms, {_GONE}, CASE WHEN {_OK} THEN 'blocked' ELSE state END AS state, CASE WHEN {_OK} THEN NULL ELSE settled_ms END AS settled_ms, CASE WHEN {_OK} THEN {_WHY} ELSE reason END AS reason FROM del")
 def block(s, d):
     return D.block(X.deliveries(s, d), _requests(s, d), NOW)
 
@@ -466,16 +470,17 @@ _RUN = f""", sz AS (SELECT rev, 100 * (rev + 1) AS bytes FROM range(0, 3) t(rev)
  ok AS (SELECT st.*, sz.bytes, row_number() OVER (PARTITION BY st.sub ORDER BY sequence) AS nth FROM st JOIN subs USING (sub) LEFT JOIN sz ON sz.rev = st.rev WHERE enabled AND ready AND active < max_leases
   AND NOT EXISTS (SELECT 1 FROM st b WHERE b.sub = st.sub AND b.record = st.record AND b.record_version < st.record_version AND NOT b.ready AND b.state NOT IN {_REL})),
  tot AS (SELECT *, sum(bytes) OVER (PARTITION BY sub ORDER BY nth) AS t FROM ok WHERE nth <= 40),
- ovr AS (SELECT *, t > 2500 AS o, count(*) FILTER (t > 2500) OVER (PARTITION BY sub ORDER BY nth) AS n FROM tot)
-SELECT sub, CAST(nth AS INTEGER) AS nth, sequence, CAST(bytes AS BIGINT) AS bytes, CASE WHEN o THEN 'deferred_by_byte_budget' ELSE 'settled' END AS outcome FROM ovr WHERE n = 0 OR (o AND n = 1)"""
+ ovr AS (SELECT *, CASE WHEN t > 2500 THEN 'deferred_by_byte_budget' WHEN sub = 2 AND sequence % 5 = 3 THEN 'blocked' WHEN sub = 3 AND sequence % 5 = 3 THEN 'retried' END AS o FROM tot),
+ ovn AS (SELECT *, count(o) OVER (PARTITION BY sub ORDER BY nth) AS n FROM ovr)
+SELECT sub, CAST(nth AS INTEGER) AS nth, sequence, CAST(bytes AS BIGINT) AS bytes, coalesce(o, 'settled') AS outcome FROM ovn WHERE n = 0 OR (o IS NOT NULL AND n = 1)"""
 
 
 @query(_RUN)
 def controlled_run(s, d):
     sizes = s.range(3).select(F.col("id").alias("rev"), (F.col("id") * 100 + 100).alias("bytes"))
     e = X.deliveries(s, d)
-    leased = D.controlled_run(e, X.subscriptions(s), sizes, NOW, 40, 2500)
-    return leased
+    trouble = F.when(F.expr("sequence % 5 = 3 and sub = 2"), "blocked").when(F.expr("sequence % 5 = 3 and sub = 3"), "retried")
+    return D.controlled_run(e, X.subscriptions(s), sizes, NOW, 40, 2500, trouble)
 
 
 @query("SELECT sub, sequence, CASE WHEN kind <> 'record_tombstoned' THEN 'acknowledged' ELSE 'ignored_by_policy' END AS outcome FROM del")
@@ -563,11 +568,20 @@ def scrub(s, d):
     return page.join(owned, ["root", "path"], "left_semi").select("root", "path", "bytes")
 
 
-@query(", t AS (SELECT root, path, bytes, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM cand WHERE bytes <= 3000 WINDOW w AS (PARTITION BY root ORDER BY path)) SELECT root, path, bytes FROM t WHERE n <= 20 AND total <= 20000")
+_CACHE = """SELECT * FROM (WITH RECURSIVE c AS (SELECT lang AS root, concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, CAST(strlen(text) AS BIGINT) AS bytes FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS i FROM c WHERE bytes <= 3000),
+f AS (SELECT root, path, bytes, i, bytes <= 20000 AS admitted, CASE WHEN bytes <= 20000 THEN bytes ELSE 0 END AS used, CASE WHEN bytes <= 20000 THEN 1 ELSE 0 END AS taken FROM n WHERE i = 1
+ UNION ALL SELECT n.root, n.path, n.bytes, n.i, f.taken < 20 AND f.used + n.bytes <= 20000, f.used + CASE WHEN f.taken < 20 AND f.used + n.bytes <= 20000 THEN n.bytes ELSE 0 END, f.taken + CASE WHEN f.taken < 20 AND f.used + n.bytes <= 20000 THEN 1 ELSE 0 END FROM f JOIN n ON n.root = f.root AND n.i = f.i + 1)
+SELECT root, path, bytes FROM f WHERE admitted)"""
+
+
+@query("")
 def cache_admission(s, d):
     return C.cache_admission(X.candidates(s, d).select("root", "path", "bytes"), 3000, 20, 20_000)
 
 
+SQL["cache_admission"] = _CACHE
+
 # Mutations: the snapshot after the change
 
 
@@ -625,13 +639,21 @@ def pause(s, d):
     return C.set_enabled(X.subscriptions(s), 1, False)
 
 
-@query(""", al AS (SELECT record, gen, fp, lag(fp) OVER (PARTITION BY record ORDER BY gen) AS pf FROM scn), st AS (SELECT record, gen, fp FROM al WHERE pf = fp)
-, ch AS (SELECT *, lag(fp) OVER (PARTITION BY record ORDER BY gen) AS last FROM st) SELECT record, gen, fp FROM ch WHERE last IS NULL OR last <> fp""")
+_RECONCILE = _STABLE.replace("SELECT record, gen, fp, CAST(row_number() OVER (PARTITION BY record, i ORDER BY gen) AS INTEGER) AS unchanged FROM isl", """, run AS (SELECT record, gen, fp, i, row_number() OVER (PARTITION BY record, i ORDER BY gen) AS unchanged FROM isl),
+ rec AS (SELECT record, gen, fp, CASE WHEN unchanged < 2 THEN 'awaiting_stability' WHEN coalesce(bytes, 0) > 5000 THEN 'deferred_by_size_limit' WHEN unchanged > 2 THEN 'already_stable' ELSE 'hashed' END AS outcome FROM run LEFT JOIN cand ON cand.doc_id = run.record)
+""")
+
+
+@query(_RECONCILE + "SELECT record, gen, fp, outcome FROM rec")
+def reconcile(s, d):
+    """What a scan does with each candidate: it waits, is stable already, is too large, or is hashed. Budgets are unlimited."""
+    return L.reconcile(_sized(s, d), X.generations(s).where("counts").select("gen"), 2, 5000)
+
+
+@query(_RECONCILE + ", hsh AS (SELECT record, gen, fp, lag(fp) OVER (PARTITION BY record ORDER BY gen) AS last FROM rec WHERE outcome = 'hashed') SELECT record, gen, fp FROM hsh WHERE last IS NULL OR last <> fp")
 def scan_pipeline(s, d):
-    """Each pair of equal observations in a row is stable; a stable fingerprint other than the last committed is a revision."""
-    w = W.partitionBy("record").orderBy("gen")
-    st = X.scans(s, d).withColumn("pf", F.lag("fp").over(w)).where("pf = fp")
-    return st.withColumn("last", F.lag("fp").over(w)).where("last is null or last <> fp").select("record", "gen", "fp")
+    """The revisions that scans commit: what they hash, if it isn't what the record had before."""
+    return L.committed(L.reconcile(_sized(s, d), X.generations(s).where("counts").select("gen"), 2, 5000))
 
 
 # Extensions that the reference only describes

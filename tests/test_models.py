@@ -76,3 +76,39 @@ def test_owned_by_source_has_no_last_record(spark, monkeypatch):
     monkeypatch.setattr(q.X, "observations", lambda s, d: spark.createDataFrame(rows, "record long"))
     got = sorted(r.record for r in q.QUERIES["owned_by_source"](spark, "").collect())
     assert got == [2, 7, 1_000_002, 5_000_000_002]
+
+
+def test_settlement_columns(spark):
+    """Expiry, settling, retrying and blocking, row by row: state, token, expiry, time of settlement and reason."""
+    now, rows = 1000, []
+    for n in range(60):
+        state = ["leased", "leased", "queued", "acknowledged"][n % 4]
+        leased = state == "leased"
+        rows.append((n, n % 7, 1, "k", 0, "a", 1, state, n % 5 + 1, 900 + 7 * n if leased else None, None, f"t{n}" if leased else None, 5, 50 if state == "acknowledged" else None, None))
+    columns = "sequence long, record long, record_version long, kind string, rev long, root string, sub int, state string, attempts int, expires_ms long, not_before_ms long, token string, created_ms long, settled_ms long, reason string"
+    d = spark.createDataFrame(rows, columns)
+    subs = spark.createDataFrame([(1, 50, True, 3, 10, 40)], "sub int, max_leases int, enabled boolean, max_attempts int, first_ms int, most_ms int")
+    asked = spark.createDataFrame([(1, n, f"t{n}" if n % 3 else "old", ["acknowledged", "dead_letter"][n % 2], f"r{n}") for n in range(60)], "sub int, sequence long, token string, outcome string, reason string")
+    wait = lambda attempts: now + min(40, 10 * 2 ** (attempts - 1))
+    got = {name: {r.sequence: r for r in df.collect()} for name, df in (("expire", D.expire(d, subs, now)), ("settle", D.settle(d, asked, now)), ("retry", D.retry(d, asked, subs, now)), ("block", D.block(d, asked, now)))}
+    for x in rows:
+        n, state, attempts, expires, token, settled = x[0], x[7], x[8], x[9], x[11], x[13]
+        same = (state, token, expires, None, settled, None)
+        over, ok, dead = state == "leased" and expires <= now, state == "leased" and n % 3 > 0 and expires > now, attempts >= 3
+        again = ("dead_lettered", None, None, None, now) if dead else ("queued", None, None, wait(attempts), None)
+        want = {
+            "expire": (*again, "retry policy exhausted after lease expiry" if dead else None) if over else same,
+            "settle": (["acknowledged", "dead_lettered"][n % 2], None, None, None, now, f"r{n}") if ok else same,
+            "retry": (*again, "retry policy exhausted" if dead else None) if ok else same,
+            "block": ("blocked", None, None, None, None, f"r{n}") if ok else same,
+        }
+        for name, w in want.items():
+            r = got[name][n]
+            assert (r.state, r.token, r.expires_ms, r.not_before_ms, r.settled_ms, r.reason) == w, (name, n)
+
+
+def test_fold_refuses_and_goes_on(spark):
+    rows = [("a", n, s) for n, s in enumerate([50, 70, 30, 20, 1, 1])] + [("b", 0, 200), ("b", 1, 100), (None, 0, 5)]
+    d = spark.createDataFrame(rows, "g string, p long, size long")
+    got = ordering.folded(d, "g", ["p"], "size", 100, 4).where("admitted").collect()
+    assert sorted((r.g or "", r.p) for r in got) == [("", 0), ("a", 0), ("a", 2), ("a", 3), ("b", 1)]
